@@ -679,11 +679,13 @@ def attributed_queries(d: Data) -> DataFrame:
 
 @query
 def hash_mismatches(d: Data) -> DataFrame:
-    """File hashes now against a master list with gaps, changed files and files since removed."""
+    """File hashes now against a master list in which some files have moved or changed."""
     files = d.file_hashes
-    current = files.filter("seen_at % 11 <> 0").select("path", F.sha2("content", 256).alias("hash"), "seen_at")
-    master = files.filter("seen_at % 7 <> 0").select(
-        "path", F.sha2(F.concat("content", F.when(F.col("seen_at") % 5 == 0, "x").otherwise("")), 256).alias("hash"))
+    current = files.select("path", F.sha2("content", 256).alias("hash"), "seen_at")
+    moved, changed = F.col("seen_at") % 7 == 0, F.col("seen_at") % 5 == 0
+    master = files.select(
+        F.when(moved, F.concat(F.lit("/old"), "path")).otherwise(F.col("path")).alias("path"),
+        F.sha2(F.concat("content", F.when(changed, "x").otherwise("")), 256).alias("hash"))
     return similar.hash_mismatches(current, master)
 
 
