@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ipaddress
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,33 +21,37 @@ def is_ipv4(col: Column) -> Column:
     return F.coalesce(col.rlike(IPV4_PATTERN), F.lit(False))
 
 
-def ipv4_number(col: Column) -> Column:
-    """The address as a number, NULL for anything else."""
-    octets = F.split(col, r"\.")
-    number = reduce(lambda acc, i: acc * 256 + octets[i].try_cast("bigint"), range(1, 4), octets[0].try_cast("bigint"))
-    return F.when(is_ipv4(col), number)
+def _octet(low: int, high: int) -> str:
+    """Pattern of the octets from low to high, leading zeros allowed."""
+    if (low, high) == (0, 255):
+        return OCTET
+    values = (str(v) for v in range(low, high + 1))
+    return "(" + "|".join("0{0,%d}%s" % (3 - len(v), v) for v in values) + ")"
+
+
+def _range_pattern(text: str) -> str:
+    """Pattern of the addresses in one CIDR range.
+
+    IPv6 prefixes may be up to 16 bits long, so that the first group decides.
+    """
+    net = ipaddress.ip_network(text)
+    low, high = net.network_address.packed, net.broadcast_address.packed
+    if net.version == 4:
+        return r"\.".join(_octet(a, b) for a, b in zip(low, high)) + "$"
+    if net.prefixlen > 16 or low[0] < 0x10:
+        raise ValueError(f"IPv6 prefix must fix the first digit and at most 16 bits: {text}")
+    digits = zip(low[:2].hex(), high[:2].hex())
+    return "".join("[" + "0123456789abcdef"[int(a, 16):int(b, 16) + 1] + "]" for a, b in digits) + ":"
 
 
 def in_cidr(col: Column, ranges: list[str]) -> Column:
     """True if the address lies in one of the configured ranges.
 
-    The ranges are configuration, so they become literals of the expression and
-    no join is planned. IPv6 prefixes may be up to 16 bits long, which one
-    comparison of the first group decides.
+    The ranges are configuration, so they become one pattern: a single pass over
+    the text decides, and no join is planned.
     """
-    v4 = ipv4_number(col)
-    group = F.conv(F.regexp_extract(col, "^([0-9a-fA-F]{1,4}):", 1), 16, 10).try_cast("bigint")
-    tests = []
-    for text in ranges:
-        net = ipaddress.ip_network(text)
-        low, high = int(net.network_address), int(net.broadcast_address)
-        if net.version == 4:
-            tests.append(v4.between(low, high))
-        elif net.prefixlen <= 16:
-            tests.append(group.between(low >> 112, high >> 112))
-        else:
-            raise ValueError(f"IPv6 prefix longer than 16 bits: {text}")
-    return reduce(lambda a, b: a | b, [F.coalesce(t, F.lit(False)) for t in tests], F.lit(False))
+    pattern = "(?i)^(" + "|".join(_range_pattern(r) for r in ranges) + ")"
+    return F.coalesce(col.rlike(pattern), F.lit(False))
 
 
 def is_private(col: Column) -> Column:

@@ -24,3 +24,13 @@ def month_key(col: Column) -> Column:
 def ntz(text: str) -> Column:
     """A timestamp literal without zone."""
     return F.lit(text).cast("timestamp_ntz")
+
+
+def as_instant(col: Column) -> Column:
+    """A wall-clock value of whole seconds as an instant, read as UTC; streams need one for a watermark."""
+    return F.timestamp_seconds(epoch_seconds(col))
+
+
+def as_wall_clock(col: Column) -> Column:
+    """The inverse of `as_instant`."""
+    return ntz("1970-01-01 00:00:00") + F.make_dt_interval(secs=F.unix_seconds(col).cast("decimal(18, 6)"))

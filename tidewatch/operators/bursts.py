@@ -30,4 +30,4 @@ def burst_offenders(df: DataFrame, key: str, ts: str, n: int = 3, window_seconds
     counted = rows.withColumn("failures", F.sum("hits").over(trailing))
     return counted.filter(F.col("own") & (F.col("failures") >= n)).select(
         key, F.col(ts).alias("flagged_at"), "failures",
-        (F.col(ts) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(ban_seconds))).alias("banned_until"))
+        (F.col(ts) + F.make_dt_interval(secs=F.lit(ban_seconds))).alias("banned_until"))

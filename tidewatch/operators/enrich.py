@@ -26,8 +26,8 @@ THREATFOX_LAYOUT = ("query_status string, data array<struct<malware_printable: s
 URLHAUS_LAYOUT = ("query_status string, urlhaus_reference string, urls array<struct<url: string, "
                   "url_status: string, threat: string>>")
 
-VERDICT_LAYOUT = ("threat_score int, is_malicious boolean, threat_label string, verdict_en string, "
-                  "analysis_pl string, scoring_rationale string, active_providers array<string>")
+# Follows the text in the array that it is parsed in; missing there if the text does not end with its value.
+END_MARK = "end-of-text"
 
 
 def _or_false(col: Column) -> Column:
@@ -170,20 +170,25 @@ def apply_score_policy(context: DataFrame, levels: DataFrame, score: str = "prim
 def parse_verdicts(df: DataFrame, text: str = "output") -> DataFrame:
     """Verdict fields from model output; `error` is set where the text is not a verdict.
 
-    A verdict is one JSON object with a list of active providers. Rows in error
-    keep the text as it came in `raw_received`.
+    A verdict is one JSON object, and nothing else, with a list of active
+    providers. Rows in error keep the text as it came in `raw_received`. The JSON
+    parser stops after the first value, so the text is parsed as the first entry
+    of an array whose second one must be the end mark.
     """
-    parsed = df.withColumn("_v", F.try_parse_json(strip_fences(F.col(text))))
-    fields = {"score": ("$.threat_score", "int"), "is_malicious": ("$.is_malicious", "boolean"),
-              "verdict_en": ("$.verdict_en", "string"), "analysis_pl": ("$.analysis_pl", "string"),
-              "scoring_rationale": ("$.scoring_rationale", "string"),
-              "active_providers": ("$.active_providers", "array<string>")}
-    opened = parsed.withColumns(
-        {name: F.try_variant_get("_v", path, kind) for name, (path, kind) in fields.items()}).drop("_v")
-    bad = F.col("active_providers").isNull()
-    kept = {name: F.when(~bad, F.col(name)) for name in fields}
-    return opened.withColumns({
-        **kept, "error": F.when(bad, "Parsing failed"), "raw_received": F.when(bad, F.col(text))}).drop(text)
+    array = F.concat(F.lit("["), strip_fences(F.col(text)), F.lit(f',"{END_MARK}"]'))
+    parsed = df.withColumn("_v", F.try_parse_json(array))
+    fields = {"score": ("threat_score", "int"), "is_malicious": ("is_malicious", "boolean"),
+              "verdict_en": ("verdict_en", "string"), "analysis_pl": ("analysis_pl", "string"),
+              "scoring_rationale": ("scoring_rationale", "string"),
+              "active_providers": ("active_providers", "array<string>")}
+    opened = parsed.withColumns({
+        **{name: F.try_variant_get("_v", f"$[0].{key}", kind) for name, (key, kind) in fields.items()},
+        "_end": F.try_variant_get("_v", "$[1]", "string")}).drop("_v")
+    good = F.col("active_providers").isNotNull() & F.col("_end").eqNullSafe(F.lit(END_MARK))
+    checked = opened.withColumn("error", F.when(~good, "Parsing failed")).drop("_end")
+    return checked.withColumns({
+        **{name: F.when(F.col("error").isNull(), F.col(name)) for name in fields},
+        "raw_received": F.when(F.col("error").isNotNull(), F.col(text))}).drop(text)
 
 
 def provider_details(verdicts: DataFrame, latest: DataFrame) -> DataFrame:

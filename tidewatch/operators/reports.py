@@ -11,6 +11,9 @@ from tidewatch.functions.times import epoch_seconds, hour_label
 from tidewatch.operators.filters import malicious_legacy, malicious_only, with_level
 from tidewatch.session import spread_join
 
+# Dictionary entries up to which providers get a counter each.
+MAX_COUNTERS = 64
+
 
 def pending_analysis(dns: DataFrame, ti: DataFrame) -> DataFrame:
     """DNS rows with an IPv4 answer that no indicator refers to yet.
@@ -127,14 +130,24 @@ def dns_hourly_traffic(dns: DataFrame) -> DataFrame:
 def providers_per_indicator(details: DataFrame, providers: DataFrame) -> DataFrame:
     """Provider names of an indicator in order, repeated rows repeated.
 
-    Rows are counted per provider first, so a list is put together from at most
-    one entry per dictionary row, however many details an indicator has.
+    Details are only counted per provider, in one shuffle with map-side combine,
+    and the list is written from the counts: however many rows an indicator has,
+    no task gathers them. A dictionary too long for one counter per entry is
+    counted by key instead, which takes a second shuffle.
     """
-    counted = details.groupBy("indicator_id", "source_id").agg(F.count("*").cast("int").alias("n"))
-    named = counted.join(providers.select(F.col("id").alias("source_id"), "name"), "source_id")
-    names = F.array_sort(F.collect_list(F.struct("name", "n")))
-    repeated = F.flatten(F.transform(names, lambda e: F.array_repeat(e["name"], e["n"])))
-    return named.groupBy("indicator_id").agg(F.concat_ws(", ", repeated).alias("providers"))
+    names = providers.select("id", "name").limit(MAX_COUNTERS + 1).collect()
+    if len(names) > MAX_COUNTERS:
+        counted = details.groupBy("indicator_id", "source_id").agg(F.count("*").cast("int").alias("n"))
+        named = counted.join(providers.select(F.col("id").alias("source_id"), "name"), "source_id")
+        entries = F.array_sort(F.collect_list(F.struct("name", "n")))
+        repeated = F.flatten(F.transform(entries, lambda e: F.array_repeat(e["name"], e["n"])))
+        return named.groupBy("indicator_id").agg(F.concat_ws(", ", repeated).alias("providers"))
+    ordered = sorted(names, key=lambda row: row["name"])
+    counters = [F.count_if(F.col("source_id") == row["id"]).alias(f"n{i}") for i, row in enumerate(ordered)]
+    lists = [F.array_repeat(F.lit(row["name"]), F.col(f"n{i}").cast("int")) for i, row in enumerate(ordered)]
+    known = details.filter(F.col("source_id").isin([row["id"] for row in ordered]))
+    return known.groupBy("indicator_id").agg(*counters).select(
+        "indicator_id", F.concat_ws(", ", *lists).alias("providers"))
 
 
 def _explore(ne: DataFrame, dns: DataFrame, ti: DataFrame, verdicts: DataFrame, details: DataFrame,

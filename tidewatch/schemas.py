@@ -61,19 +61,26 @@ LEGACY_THREAT_LEVELS = [
 ]
 
 
+def _dictionary(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """Rows as SQL VALUES, whose exact size the planner knows: it broadcasts them
+    by its own size check, whereas rows sent from Python have an unknown size."""
+    def literal(value) -> str:
+        return "'" + value.replace("'", "\\'") + "'" if isinstance(value, str) else str(value)
+    body = ", ".join("(" + ", ".join(map(literal, row)) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {body} AS t({columns})")
+
+
 def indicator_types(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(INDICATOR_TYPES, "id int, name string")
+    return _dictionary(spark, INDICATOR_TYPES, "id, name")
 
 
 def source_providers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SOURCE_PROVIDERS, "id int, name string")
+    return _dictionary(spark, SOURCE_PROVIDERS, "id, name")
 
 
 def threat_levels(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        THREAT_LEVELS, "score int, description string, is_malicious_flag boolean, action_recommended string")
+    return _dictionary(spark, THREAT_LEVELS, "score, description, is_malicious_flag, action_recommended")
 
 
 def legacy_threat_levels(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        LEGACY_THREAT_LEVELS, "score int, description string, is_malicious_flag boolean")
+    return _dictionary(spark, LEGACY_THREAT_LEVELS, "score, description, is_malicious_flag")

@@ -19,7 +19,7 @@ DOMAIN = "concat('d', cast(user_id as string), '.example.com')"
 ANSWER_IP = "concat(cast(1 + user_id % 223 as string), '.', cast(event_id % 256 as string), '.7.9')"
 CLIENT_IP = "concat('192.168.1.', cast(user_id % 20 as string))"
 INDICATOR_ID = ("concat(cast(l_orderkey as string), '-', cast(l_partkey as string), '-', "
-                "cast(l_shipdate as string))")
+                "cast(year(l_shipdate) * 1000 + dayofyear(l_shipdate) as string))")
 ISO_TS = "concat(replace(cast(date_trunc('second', ts) as string), ' ', 'T'), 'Z')"
 HAS_ANSWER = "event_id % 3 <> 0 AND event_id % 10 NOT IN (1, 2, 3, 4)"
 
@@ -98,7 +98,8 @@ TABLES: dict[str, list[tuple[str, list[str], str]]] = {
          "l_orderkey % 4 <> 0 AND l_linenumber IN (2, 4, 6)"),
     ],
     "network_events": [("lineitem", [
-        f"concat({INDICATOR_ID}, '@', cast(l_linenumber as string)) AS id",
+        "concat(cast(l_orderkey as string), '@', cast(l_linenumber as string), '@', cast(l_partkey as string), '@', "
+        "cast(l_suppkey as string)) AS id",
         "l_shipdate + l_linenumber * INTERVAL '1' HOUR AS timestamp",
         "CASE WHEN l_linenumber = 5 THEN NULL ELSE l_orderkey END AS dns_query_id",
         f"CASE WHEN l_linenumber = 3 THEN NULL ELSE {INDICATOR_ID} END AS threat_indicator_id",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidewatch.functions.times import hour_label
+from tidewatch.functions.times import as_instant, as_wall_clock, hour_label
 from tidewatch.operators.reports import pending_analysis
 from tidewatch.sources.logs import parse_dns_lines, read_dns_log, write_dns
 
@@ -38,7 +38,7 @@ def stream_hourly(dns: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     groups. State is keyed by hour and value, so a busy hour is spread out.
     """
     tagged = dns.select(
-        F.col("timestamp").cast("timestamp").alias("at"),
+        as_instant(F.col("timestamp")).alias("at"),
         F.explode(F.array(F.struct(F.lit("d").alias("kind"), F.col("domain").alias("value")),
                           F.struct(F.lit("s").alias("kind"), F.col("source_ip").alias("value")))).alias("e"))
     values = (tagged.withWatermark("at", watermark)
@@ -50,9 +50,9 @@ def stream_hourly(dns: DataFrame, watermark: str = WATERMARK) -> DataFrame:
         F.sum(F.when(is_domain, 1).otherwise(0)).alias("unique_domains"),
         F.sum(F.when(is_domain, 0).otherwise(1)).alias("unique_sources"),
         F.max("latest").alias("latest_query"))
-    return hours.select(hour_label(F.col("hour.start")).alias("hour_group"),
-                        F.unix_timestamp("hour.start").alias("time_sec"), "total_queries", "unique_domains",
-                        "unique_sources", F.col("latest_query").cast("timestamp_ntz").alias("latest_query"))
+    return hours.select(hour_label(as_wall_clock(F.col("hour.start"))).alias("hour_group"),
+                        F.unix_seconds("hour.start").alias("time_sec"), "total_queries", "unique_domains",
+                        "unique_sources", as_wall_clock(F.col("latest_query")).alias("latest_query"))
 
 
 def stream_pending(dns: DataFrame, indicators: Callable[[], DataFrame], out: str, checkpoint: str,
@@ -70,14 +70,14 @@ def stream_pending(dns: DataFrame, indicators: Callable[[], DataFrame], out: str
 def stream_bursts(failures: DataFrame, key: str, ts: str, n: int = 3, window: str = "10 minutes",
                   slide: str = "1 minute", ban_seconds: int = 86400, watermark: str = WATERMARK) -> DataFrame:
     """Burst rule on a stream: sliding windows in which a source reaches `n` failures."""
-    at = failures.select(key, F.col(ts).cast("timestamp").alias("at"))
+    at = failures.select(key, as_instant(F.col(ts)).alias("at"))
     counted = (at.withWatermark("at", watermark).groupBy(key, F.window("at", window, slide).alias("w"))
                .agg(F.count("*").alias("failures"), F.max("at").alias("flagged_at")))
-    ban = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(ban_seconds))
+    ban = F.make_dt_interval(secs=F.lit(ban_seconds))
     return counted.filter(F.col("failures") >= n).select(
-        key, F.col("w.start").cast("timestamp_ntz").alias("window_start"), "failures",
-        F.col("flagged_at").cast("timestamp_ntz").alias("flagged_at"),
-        (F.col("flagged_at") + ban).cast("timestamp_ntz").alias("banned_until"))
+        key, as_wall_clock(F.col("w.start")).alias("window_start"), "failures",
+        as_wall_clock(F.col("flagged_at")).alias("flagged_at"),
+        (as_wall_clock(F.col("flagged_at")) + ban).alias("banned_until"))
 
 
 def drain(df: DataFrame, out: str, checkpoint: str) -> None:
