@@ -83,8 +83,10 @@ def test_provider_without_document_is_left_out(spark, rows):
     verdicts = spark.createDataFrame(
         [(1, "d.com", "1.1.1.1", ["virustotal", "threatfox", "other"], None)],
         "dns_query_id int, fqdn string, observable_ip string, active_providers array<string>, error string")
-    docs = spark.createDataFrame([("1.1.1.1", "VirusTotal", "a"), ("d.com", "Abuse_URLhaus", "b")],
-                                 "resource string, source_provider string, doc_id string")
+    docs = spark.createDataFrame(
+        [("1.1.1.1", "VirusTotal", "0", "2023"), ("1.1.1.1", "VirusTotal", "a", "2024"),
+         ("d.com", "Abuse_URLhaus", "b", "2024")],
+        "resource string, source_provider string, doc_id string, scan_date string")
     assert rows(enrich.provider_details(verdicts, docs), "dns_query_id", "source_provider", "doc_id") == [
         (1, "VirusTotal", "a")]
 

@@ -82,13 +82,14 @@ def test_first_partial_day_falls_out_of_the_trend_panel(spark):
 
 def test_month_filter_prunes_folders(spark, tmp_path):
     from tidewatch.operators import maintain
-    path = str(tmp_path / "t")
-    maintain.write_partitioned(Data(spark, SMALL).threat_indicators, "last_scan", path)
-    df = filters.time_filter(spark.read.parquet(path).withColumn("ym", F.col("ym").cast("string")), "last_scan",
+    from tidewatch.sources.tables import read_table
+    maintain.write_partitioned(Data(spark, SMALL).threat_indicators, "last_scan", str(tmp_path / "t"))
+    df = filters.time_filter(read_table(spark, "t", str(tmp_path)), "last_scan",
                              ntz("2000-01-15 00:00:00"), ntz("2000-02-10 00:00:00"), "ym")
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(ym" in plan
-    assert df.select(F.min("last_scan"), F.max("last_scan")).first()[0] >= datetime(2000, 1, 15)
+    scan = next(l for l in df._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in l)
+    pruning = scan.split("PartitionFilters: [")[1].split("]")[0]
+    assert ">= 200001" in pruning and "<= 200002" in pruning
+    assert df.select(F.min("last_scan")).first()[0] >= datetime(2000, 1, 15)
 
 
 def test_time_range_reaches_the_scan(data):

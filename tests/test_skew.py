@@ -97,6 +97,13 @@ def test_hot_domain_against_a_blocklist(hot):
     assert (blocked.count(), allowed.count()) == (N // 3, N - N // 3)
 
 
+def test_hot_missing_parent(hot, spark):
+    parents = hot.filter("k <> 7").select(F.col("k").alias("id"))
+    lost = registry.orphans(hot.withColumn("pad", F.repeat(F.lit("x"), F.lit(40))), parents, "k")
+    assert "skew=true" in final_plan(lost)
+    assert lost.count() == N // 3
+
+
 def test_copies_of_one_key_shrink_before_the_shuffle(hot):
     df = hot.select("k", F.lit(1).alias("j"), F.col("id").alias("v"))
     first = registry.enforce_unique(df, ["k", "j"], ["v"])

@@ -11,6 +11,7 @@ from tidewatch.functions.styles import pick_severity
 from tidewatch.functions.text import strip_fences
 from tidewatch.operators.filters import needs_alert
 from tidewatch.session import spread_join
+from tidewatch.sources.raw_reports import latest_raw
 
 # Owners that count as trusted infrastructure.
 BIG_PLAYERS = ["AWS", "Amazon", "Cloudflare", "Google", "Microsoft", "GitHub"]
@@ -191,11 +192,11 @@ def parse_verdicts(df: DataFrame, text: str = "output") -> DataFrame:
         "raw_received": F.when(F.col("error").isNotNull(), F.col(text))}).drop(text)
 
 
-def provider_details(verdicts: DataFrame, latest: DataFrame) -> DataFrame:
-    """One row per verdict and active provider that has a stored document.
+def provider_details(verdicts: DataFrame, raw: DataFrame) -> DataFrame:
+    """One row per verdict and active provider that has a stored document: the newest one's id.
 
-    `latest` holds one document per (resource, source_provider). VirusTotal is
-    stored by address, the others by domain; unknown provider keys drop out.
+    VirusTotal is stored by address, the others by domain; unknown provider keys
+    drop out. Only ids and dates of the archive are read and moved, no payloads.
     """
     name = F.coalesce(*[F.when(F.col("provider") == key, value) for key, value in PROVIDER_NAMES.items()])
     listed = (verdicts.filter("error IS NULL")
@@ -205,8 +206,9 @@ def provider_details(verdicts: DataFrame, latest: DataFrame) -> DataFrame:
               .select("dns_query_id", "source_provider",
                       F.when(F.col("provider") == "virustotal", F.col("observable_ip"))
                       .otherwise(F.col("fqdn")).alias("resource")))
-    stored = latest.select("resource", "source_provider", "doc_id")
-    return spread_join(listed, stored, ["resource", "source_provider"])
+    keys = ("resource", "source_provider")
+    stored = latest_raw(raw.select(*keys, "scan_date", "doc_id"), keys).select(*keys, "doc_id")
+    return spread_join(listed, stored, list(keys))
 
 
 def build_alerts(verdicts: DataFrame, product: str = "DNS watch") -> DataFrame:

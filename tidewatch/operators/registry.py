@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators.reports import resolve_ids
-from tidewatch.session import spread_join
 
 
 def _stamp(now: Column) -> Column:
@@ -72,9 +71,13 @@ def scan_counts(ti: DataFrame) -> DataFrame:
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str = "id") -> DataFrame:
-    """Rows whose non-NULL logical key has no parent."""
-    known = parent.select(F.col(parent_key).alias(key)).distinct()
-    return spread_join(child.filter(F.col(key).isNotNull()), known, [key], "left_anti")
+    """Rows whose non-NULL logical key has no parent.
+
+    The parent's key is unique, so it needs no aggregate first; both sides are
+    shuffled for this join, and a hot key among the children can be split.
+    """
+    known = parent.select(F.col(parent_key).alias(key))
+    return child.filter(F.col(key).isNotNull()).join(known, key, "left_anti")
 
 
 def remap_scores(df: DataFrame, score: str = "threat_score") -> DataFrame:

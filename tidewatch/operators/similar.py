@@ -38,8 +38,7 @@ def verdict_documents(ar: DataFrame, ti: DataFrame, dns: DataFrame) -> DataFrame
 
 def missing_embeddings(ar: DataFrame, meta: DataFrame) -> DataFrame:
     """Verdicts that no embedding exists for; `meta` has verdict_id."""
-    known = meta.select(F.col("verdict_id").alias("id")).distinct()
-    return ar.join(known, "id", "left_anti")
+    return ar.join(meta.select(F.col("verdict_id").alias("id")), "id", "left_anti")
 
 
 def verdict_corpus(vectors: DataFrame, ar: DataFrame, ti: DataFrame, now: Column, min_score: int = 3,
@@ -54,10 +53,11 @@ def verdict_corpus(vectors: DataFrame, ar: DataFrame, ti: DataFrame, now: Column
 def top_similar(queries: DataFrame, corpus: DataFrame, k: int = 5, min_similarity: float | None = None) -> DataFrame:
     """Exact top `k` of the corpus per query by cosine, rounded to six places, lower id on a tie.
 
-    Queries (query_id, vector) and corpus (verdict_id, vector) are cut into
-    blocks, and each pair of blocks is one task: a matrix product of bounded
-    size that passes on only `k` rows per query. Neither side is broadcast, and
-    no pair of vectors becomes a row.
+    Queries (query_id, vector) and corpus (verdict_id, vector) have one row per
+    id. They are cut into blocks by id, and each pair of blocks is one group: a
+    matrix product of bounded size that passes on only `k` rows per query.
+    Neither side is broadcast, and no pair of vectors becomes a row. The two
+    counts that size the grid read no vectors.
     """
     query_blocks = max(1, ceil(queries.count() / QUERY_BLOCK))
     corpus_blocks = max(1, ceil(corpus.count() / CORPUS_BLOCK))

@@ -84,8 +84,7 @@ class Data:
         return enrich.parse_verdicts(self.verdict_texts)
 
     def details(self) -> DataFrame:
-        latest = raw_reports.latest_raw(self.raw_reports, ("resource", "source_provider"))
-        return enrich.provider_details(self.parsed(), latest)
+        return enrich.provider_details(self.parsed(), self.raw_reports)
 
     def partitions(self) -> DataFrame:
         """Month partitions in use, from the rows of the three partitioned tables."""
@@ -334,7 +333,7 @@ def parsed_log(d: Data) -> DataFrame:
 def _stored_log(d: Data, status: str) -> DataFrame:
     path = scratch_path(d.spark, "dns")
     logs.write_dns(logs.parse_dns_lines(d.log_lines, ntz(DNS_NOW)), path)
-    return logs.read_dns(d.spark, path, status).withColumn("ym", F.col("ym").cast("string"))
+    return logs.read_dns(d.spark, path, status)
 
 
 @query
@@ -354,7 +353,7 @@ def streamed_log(d: Data) -> DataFrame:
     d.log_lines.write.text(inbox)
     jobs.stream_dns(d.spark, inbox, out, scratch_path(d.spark, "state"), ntz(DNS_NOW),
                     availableNow=True).awaitTermination()
-    return logs.read_dns(d.spark, out).drop("batch_id").withColumn("ym", F.col("ym").cast("string"))
+    return logs.read_dns(d.spark, out).drop("batch_id")
 
 
 # --- raw reports and enrichment --------------------------------------------
@@ -588,7 +587,7 @@ def stored_months_in_range(d: Data) -> DataFrame:
     """Range read of a month-partitioned table; the month filter prunes folders."""
     base = scratch_path(d.spark, "months")
     maintain.write_partitioned(d.threat_indicators, "last_scan", f"{base}/threat_indicators")
-    stored = tables.read_table(d.spark, "threat_indicators", base).withColumn("ym", F.col("ym").cast("string"))
+    stored = tables.read_table(d.spark, "threat_indicators", base)
     return filters.time_filter(stored, "last_scan", ntz(SCAN_START), ntz(SCAN_END), "ym")
 
 

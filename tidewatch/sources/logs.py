@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.times import month_key
 from tidewatch.schemas import DNS_LENGTHS, DNS_REQUIRED
+from tidewatch.sources.tables import with_text_month
 
 # Fixed pattern: the part of a log line that names an action, a domain and a value.
 LINE_PATTERN = r"(query|reply)(?:\[([A-Z0-9]+)\])?\s+(\S+)\s+(?:is|from)\s+(\S+)"
@@ -69,4 +70,4 @@ def write_dns(df: DataFrame, path: str, mode: str = "append", extra_partitions:
 
 def read_dns(spark: SparkSession, path: str, status: str = "accepted") -> DataFrame:
     """Rows that `write_dns` accepted, or the rejected ones."""
-    return spark.read.parquet(path).filter(F.col("row_status") == status).drop("row_status")
+    return with_text_month(spark.read.parquet(path).filter(F.col("row_status") == status).drop("row_status"))

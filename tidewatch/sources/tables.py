@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """Table `name` stored as parquet under `path`; month folders become column `ym`."""
-    return spark.read.parquet(f"{path.rstrip('/')}/{name}")
+    """Table `name` stored as parquet under `path`; month folders become text column `ym`."""
+    return with_text_month(spark.read.parquet(f"{path.rstrip('/')}/{name}"))
+
+
+def with_text_month(df: DataFrame) -> DataFrame:
+    """Folder names are read back as numbers; months are compared as text everywhere."""
+    return df.withColumn("ym", F.col("ym").cast("string")) if "ym" in df.columns else df
 
 
 def read_jdbc_table(spark: SparkSession, name: str, url: str, properties: dict[str, str],
