@@ -48,6 +48,16 @@ def test_long_domain_is_rejected_and_kept_apart(spark, tmp_path):
     assert {str(r.ym) for r in logs.read_dns(spark, path).collect()} == {"202608"}
 
 
+def test_stored_rows_have_lower_case_and_whole_seconds(spark, tmp_path):
+    lines = spark.createDataFrame([("reply MiXed.Com is 1.2.3.4",)], "value string")
+    path = str(tmp_path / "dns")
+    for text in ("2026-08-31 23:59:59.500000", "2026-08-31 10:00:00.499999"):
+        logs.write_dns(logs.parse_dns_lines(lines, ntz(text)), path)
+    stored = logs.read_dns(spark, path).orderBy("timestamp").collect()
+    assert [(r.timestamp, r.domain, r.ym) for r in stored] == [
+        (datetime(2026, 8, 31, 10), "mixed.com", "202608"), (datetime(2026, 9, 1), "mixed.com", "202609")]
+
+
 @pytest.mark.parametrize("text,expected", [
     ("0.0.0.0", True), ("255.255.255.255", True), ("010.001.2.3", True), ("256.1.1.1", False), ("999.1.2.3", False),
     ("1.2.3", False), ("1.2.3.4.5", False), ("2001:db8::1", False), ("1.2.3.4 ", False), (None, False)])

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch import schemas
+from tidewatch.functions.shaping import spread_join
 from tidewatch.operators import enrich, filters, registry, reports
-from tidewatch.session import spread_join
 from tidewatch.sources import raw_reports
 
 N = 60_000
@@ -84,7 +84,7 @@ def test_queue_with_a_hot_domain(hot, spark):
                       F.lit('{"query_status":"ok","data":[{"malware_printable":"F","confidence_level":1}]}')
                       .alias("raw_data"))
     found = raw_reports.latest_by_provider(docs, {"vt": "VirusTotal", "tf": "Abuse_ThreatFox", "uh": "Abuse_URLhaus"})
-    out = enrich.merge_context(pending, found)
+    out = enrich.merge_context(pending, found, schemas.threat_levels(spark))
     assert "skew=true" in final_plan(out)
     assert out.filter("tf_active AND tf_families = 'F'").count() == N
 

@@ -34,3 +34,9 @@ def as_instant(col: Column) -> Column:
 def as_wall_clock(col: Column) -> Column:
     """The inverse of `as_instant`."""
     return ntz("1970-01-01 00:00:00") + F.make_dt_interval(secs=F.unix_seconds(col).cast("decimal(18, 6)"))
+
+
+def to_whole_seconds(col: Column) -> Column:
+    """A wall-clock value rounded to seconds, as the stored tables keep it."""
+    half = F.make_dt_interval(secs=F.lit("0.5").cast("decimal(18, 6)"))
+    return ntz("1970-01-01 00:00:00") + F.make_dt_interval(secs=epoch_seconds(col + half).cast("decimal(18, 6)"))

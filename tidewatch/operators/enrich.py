@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.shaping import evaluate_once, spread_join
 from tidewatch.functions.styles import pick_severity
 from tidewatch.functions.text import strip_fences
-from tidewatch.operators.filters import needs_alert
-from tidewatch.session import spread_join
+from tidewatch.operators.filters import needs_alert, threat_scale
 from tidewatch.sources.raw_reports import latest_raw
 
 # Owners that count as trusted infrastructure.
@@ -43,7 +43,7 @@ def reduce_virustotal(df: DataFrame, raw: str = "raw_data", big_players: list[st
     """Replaces the payload `raw` by the vt_ facts; a payload without counts is no data."""
     attributes = F.from_json(raw, VIRUSTOTAL_LAYOUT)["data"]["attributes"]
     names = big_players or BIG_PLAYERS
-    parsed = df.withColumn("_a", attributes).drop(raw)
+    parsed = evaluate_once(df, attributes, "_a").drop(raw)
     a, stats = F.col("_a"), F.col("_a.last_analysis_stats")
     report = F.concat(
         _or_zero(stats["malicious"]).cast("string"), F.lit(" malicious, "),
@@ -66,7 +66,7 @@ def reduce_threatfox(df: DataFrame, raw: str = "raw_data", min_confidence: int =
 
     Active means an entry of at least `min_confidence`.
     """
-    parsed = df.withColumn("_t", F.from_json(raw, THREATFOX_LAYOUT)).drop(raw)
+    parsed = evaluate_once(df, F.from_json(raw, THREATFOX_LAYOUT), "_t").drop(raw)
     entries = F.when(F.col("_t.query_status") == "ok", F.col("_t.data"))
     found = _or_false(F.size(entries) > 0)
 
@@ -88,7 +88,7 @@ def reduce_threatfox(df: DataFrame, raw: str = "raw_data", min_confidence: int =
 
 def reduce_urlhaus(df: DataFrame, raw: str = "raw_data") -> DataFrame:
     """Replaces the payload by report, activity and evidence link; active means a URL is online."""
-    parsed = df.withColumn("_u", F.from_json(raw, URLHAUS_LAYOUT)).drop(raw)
+    parsed = evaluate_once(df, F.from_json(raw, URLHAUS_LAYOUT), "_u").drop(raw)
     u = F.col("_u")
     found = _or_false(u["query_status"] == "ok")
     urls = F.when(found, u["urls"])
@@ -102,13 +102,15 @@ def reduce_urlhaus(df: DataFrame, raw: str = "raw_data") -> DataFrame:
     }).drop("_u")
 
 
-def merge_context(pending: DataFrame, reports: DataFrame, big_players: list[str] | None = None) -> DataFrame:
+def merge_context(pending: DataFrame, reports: DataFrame, levels: DataFrame,
+                  big_players: list[str] | None = None) -> DataFrame:
     """Queue rows with the facts of all providers.
 
     `reports` has one row per resource with columns vt_raw, tf_raw, uh_raw and
     their _doc_id (see `latest_by_provider`). VirusTotal is looked up by address,
     the other two by domain, together: two joins instead of three. Payloads are
     reduced before the joins, so only the compact facts travel with the queue.
+    The policy lines of the level dictionary are added as one text.
     """
     by_ip = reduce_virustotal(
         reports.filter("vt_raw IS NOT NULL").select(
@@ -120,7 +122,14 @@ def merge_context(pending: DataFrame, reports: DataFrame, big_players: list[str]
     absent = {f"{p}_no_data": F.coalesce(f"{p}_no_data", F.lit(True)) for p in ("vt", "tf", "uh")}
     unset = {c: _or_false(F.col(c)) for c in ("vt_is_big_player", "tf_active", "uh_active")}
     counts = {c: _or_zero(F.col(c)) for c in ("vt_malicious_count", "vt_suspicious_count")}
-    return merged.withColumns({**absent, **unset, **counts}).withColumn("primary_hit", primary_hit())
+    return merged.withColumns({**absent, **unset, **counts}).withColumns({
+        "primary_hit": primary_hit(), "threat_scale": _policy_text(levels).scalar()})
+
+
+def _policy_text(levels: DataFrame) -> DataFrame:
+    lines = F.array_sort(F.collect_list(F.struct("score", "formatted_line")))
+    text = F.array_join(F.transform(lines, lambda e: e["formatted_line"]), "\n")
+    return threat_scale(levels).agg(text.alias("threat_scale"))
 
 
 def primary_hit() -> Column:
@@ -177,7 +186,7 @@ def parse_verdicts(df: DataFrame, text: str = "output") -> DataFrame:
     of an array whose second one must be the end mark.
     """
     array = F.concat(F.lit("["), strip_fences(F.col(text)), F.lit(f',"{END_MARK}"]'))
-    parsed = df.withColumn("_v", F.try_parse_json(array))
+    parsed = evaluate_once(df, F.try_parse_json(array), "_v")
     fields = {"score": ("threat_score", "int"), "is_malicious": ("is_malicious", "boolean"),
               "verdict_en": ("verdict_en", "string"), "analysis_pl": ("analysis_pl", "string"),
               "scoring_rationale": ("scoring_rationale", "string"),

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.shaping import spread_join
 from tidewatch.functions.times import month_key
-from tidewatch.session import spread_join
 
 
 def with_level(df: DataFrame, levels: DataFrame) -> DataFrame:

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.net import is_ipv4
+from tidewatch.functions.shaping import spread_join
 from tidewatch.functions.text import concat_distinct
 from tidewatch.functions.times import epoch_seconds, hour_label
 from tidewatch.operators.filters import malicious_legacy, malicious_only, with_level
-from tidewatch.session import spread_join
 
 # Dictionary entries up to which providers get a counter each.
 MAX_COUNTERS = 64

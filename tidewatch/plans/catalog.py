@@ -73,7 +73,7 @@ class Data:
 
     def context(self) -> DataFrame:
         found = raw_reports.latest_by_provider(self.raw_reports, CONTEXT_PROVIDERS)
-        merged = enrich.merge_context(self.pending().drop("first_seen", "query_count"), found)
+        merged = enrich.merge_context(self.pending().drop("first_seen", "query_count"), found, self.levels)
         # The candidate score comes from outside; here it is derived from the id.
         return merged.withColumn("primary_score", (1 + F.col("dns_query_id") % 5).cast("int"))
 
@@ -407,7 +407,8 @@ def reduced_urlhaus(d: Data) -> DataFrame:
 
 CONTEXT_COLUMNS = ["dns_query_id", "fqdn", "observable_ip", "vt_doc_id", "tf_doc_id", "uh_doc_id", "vt_no_data",
                    "tf_no_data", "uh_no_data", "vt_malicious_count", "vt_suspicious_count", "vt_is_big_player",
-                   "tf_families", "tf_active", "tf_max_confidence", "uh_active", "primary_hit", "primary_score"]
+                   "tf_families", "tf_active", "tf_max_confidence", "uh_active", "primary_hit", "primary_score",
+                   "threat_scale"]
 
 
 @query

@@ -52,9 +52,8 @@ VIEWS: dict[str, str] = {
         SELECT n.*, a.threat_score FROM newest n JOIN legacy_results a ON a.id = n.analysis_result_id""",
     "stats": """
         SELECT count(l.id) AS total_scans,
-               cast(sum(CASE WHEN v.is_malicious_flag THEN 1 ELSE 0 END) AS bigint) AS total_malicious_scans,
-               round(sum(CASE WHEN v.is_malicious_flag THEN 1 ELSE 0 END) / nullif(count(l.id), 0) * 100, 2)
-                 AS malicious_percentage,
+               cast(sum(cast(v.is_malicious_flag AS int)) AS bigint) AS total_malicious_scans,
+               round(100 * avg(cast(v.is_malicious_flag AS int)), 2) AS malicious_percentage,
                max(l.last_scan) AS last_scan, min(l.last_scan) AS first_scan
         FROM latest l JOIN levels v ON v.score = l.threat_score""",
     "trends": """
@@ -363,7 +362,10 @@ SQL: dict[str, str] = {
                vt_suspicious_count, ' suspicious, owner ', coalesce(vt_owner, 'unknown')) END AS vt_report FROM vt""",
     "reduced_threatfox": "SELECT * EXCLUDE (scan_date) FROM tf",
     "reduced_urlhaus": "SELECT * EXCLUDE (scan_date) FROM uh",
-    "merged_context": "SELECT * EXCLUDE (uh_report, uh_reference) FROM ctx",
+    "merged_context": """
+        SELECT * EXCLUDE (uh_report, uh_reference),
+               (SELECT string_agg(v.score || ' | ' || v.description || ' (Action: ' || v.action_recommended || ')',
+                  chr(10) ORDER BY v.score) FROM levels v) AS threat_scale FROM ctx""",
     "detection_first": """
         SELECT dns_query_id, primary_hit, uh_status, uh_status <> 'real' AS uh_no_data,
                uh_status = 'real' AND uh_active AS uh_active,

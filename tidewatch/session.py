@@ -6,8 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 # AQE is what re-sizes shuffles, switches a join to a broadcast after measuring
 # its side, and splits a hot key of a shuffled join over several tasks.
@@ -43,20 +42,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = os.path.join(tempfile.gettempdir(), f"tidewatch-{os.getpid()}")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join in which a hot key of `left` can be split over many tasks.
-
-    `right` holds one row per key, usually because it was just aggregated on it.
-    Such a side is already partitioned on the key, so Spark would not shuffle it
-    again, and AQE only splits hot partitions of joins with a shuffle on both
-    sides. The hash of the key as one more join column asks for that shuffle; it
-    moves the (small) aggregated side once and leaves the result unchanged.
-    """
-    for key in on:
-        if left.schema[key].dataType != right.schema[key].dataType:
-            raise TypeError(f"join column {key} differs in type: cast one side first")
-    key_hash = F.xxhash64(*on).alias("_key_hash")
-    joined = left.select("*", key_hash).join(right.select("*", key_hash), [*on, "_key_hash"], how)
-    return joined.drop("_key_hash")

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.functions.times import month_key
+from tidewatch.functions.shaping import evaluate_once
+from tidewatch.functions.times import month_key, to_whole_seconds
 from tidewatch.schemas import DNS_LENGTHS, DNS_REQUIRED
 from tidewatch.sources.tables import with_text_month
 
@@ -27,8 +28,8 @@ def parse_dns_lines(lines: DataFrame, now: Column | None = None) -> DataFrame:
     blank-separated words; the fields are cut from those.
     """
     now = F.current_timestamp() if now is None else now
-    words = F.split(F.regexp_extract("value", LINE_PATTERN, 0), r"\s+")
-    found = lines.filter(F.col("value").rlike(LINE_PATTERN)).select(words.alias("w"))
+    matched = evaluate_once(lines, F.regexp_extract("value", LINE_PATTERN, 0), "match")
+    found = matched.filter("match <> ''").select(F.split("match", r"\s+").alias("w"))
     head, value = F.col("w")[0], F.col("w")[3]
     action = F.substring_index(head, "[", 1)
     named = F.when(head.contains("["), F.rtrim(F.substring_index(head, "[", -1), F.lit("]")))
@@ -56,10 +57,12 @@ def fits_table() -> Column:
 def write_dns(df: DataFrame, path: str, mode: str = "append", extra_partitions: list[str] | None = None) -> None:
     """Store rows under `row_status=accepted` or `row_status=rejected`, by month.
 
-    One pass over the input serves both tables. The rebalance hint gathers each
+    Times are kept in whole seconds and domains in lower case, so that later
+    comparisons ignore case without a collation. One pass over the input serves both tables. The rebalance hint gathers each
     month into files of a good size and splits a month that is too big for one task.
     """
     parts = ["row_status", "ym", *(extra_partitions or [])]
+    df = df.withColumns({"timestamp": to_whole_seconds(F.col("timestamp")), "domain": F.lower("domain")})
     out = df.withColumns({
         "row_status": F.when(fits_table(), "accepted").otherwise("rejected"),
         "ym": F.coalesce(month_key(F.col("timestamp")), F.lit("unknown"))})
