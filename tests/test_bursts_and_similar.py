@@ -31,6 +31,7 @@ def test_top_similar_in_blocks_equals_brute_force(spark, rows, monkeypatch, quer
     c[10] = c[3] * 2  # equal similarity, so the lower id comes first
     monkeypatch.setattr(similar, "QUERY_BLOCK", query_block)
     monkeypatch.setattr(similar, "CORPUS_BLOCK", corpus_block)
+    monkeypatch.setattr(similar, "SLICE", 3)
     queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id int, vector array<double>")
     corpus = spark.createDataFrame([(f"v{i:02}", v.tolist()) for i, v in enumerate(c)],
                                    "verdict_id string, vector array<double>")

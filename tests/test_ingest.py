@@ -1,3 +1,5 @@
+import random
+import re
 from datetime import datetime
 
 import pytest
@@ -38,6 +40,30 @@ def test_parse_line(spark, line, expected):
         assert found[0].timestamp == datetime(2026, 8, 31, 10)
 
 
+def test_parse_random_lines_like_a_plain_search(spark):
+    """The same pattern and rules applied line by line in Python."""
+    rnd = random.Random(11)
+    words = ["query", "reply", "query[A]", "reply[AAAA]", "query[a]", "from", "is", "to", "d.com", "1.2.3.4", "::1",
+             "<CNAME>", "NODATA", "NXDOMAIN", "cached", "reply[X]y"]
+    texts = ["".join(w + rnd.choice([" ", "  ", "\t"]) for w in rnd.choices(words, k=rnd.randrange(2, 9)))
+             for _ in range(3000)]
+
+    def plain(text):
+        found = re.search(logs.LINE_PATTERN, text)
+        if not found:
+            return None
+        action, kind, domain, value = found.groups()
+        if not kind:
+            kind = ("N/A" if value == "NXDOMAIN" else "AAAA" if ":" in value
+                    else "A" if "." in value and value not in ("<CNAME>", "NODATA") else "OTHER")
+        return action, kind, domain, value if action == "query" else "N/A", value if action == "reply" else None
+
+    lines = spark.createDataFrame([(t,) for t in texts], "value string")
+    found = [tuple(r)[1:] for r in logs.parse_dns_lines(lines, ntz(NOW)).collect()]
+    expected = [row for row in map(plain, texts) if row]
+    assert len(expected) > 100 and sorted(found, key=repr) == sorted(expected, key=repr)
+
+
 def test_long_domain_is_rejected_and_kept_apart(spark, tmp_path):
     lines = spark.createDataFrame(
         [(f"reply {'a' * n} is 1.2.3.4",) for n in (255, 256)], "value string")

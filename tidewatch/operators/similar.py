@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.registry import orphans
 
-QUERY_BLOCK = 500
+# Rows per block: together some 150 MB of 768-wide vectors per task. Larger query
+# blocks copy the corpus less often; the product is taken in slices of a block.
+QUERY_BLOCK = 4_000
 CORPUS_BLOCK = 20_000
+SLICE = 256
 
 
 def verdict_documents(ar: DataFrame, ti: DataFrame, dns: DataFrame) -> DataFrame:
@@ -82,7 +85,7 @@ def top_similar(queries: DataFrame, corpus: DataFrame, k: int = 5, min_similarit
 
 
 def _unit_rows(vectors: pd.Series) -> np.ndarray:
-    rows = np.array(vectors.tolist(), dtype=np.float64)
+    rows = np.stack(vectors.to_numpy()).astype(np.float64)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
@@ -92,12 +95,16 @@ def _block_top_k(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
         return pd.DataFrame({"query_id": q["query_id"][:0], "verdict_id": c["verdict_id"][:0],
                              "similarity": np.zeros(0)})
     c = c.sort_values("verdict_id")
-    sims = np.round(_unit_rows(q["vector"]) @ _unit_rows(c["vector"]).T, 6)
-    order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-    return pd.DataFrame({
-        "query_id": np.repeat(q["query_id"].to_numpy(), order.shape[1]),
-        "verdict_id": c["verdict_id"].to_numpy()[order.ravel()],
-        "similarity": np.take_along_axis(sims, order, axis=1).ravel()})
+    left, right, names = _unit_rows(q["vector"]), _unit_rows(c["vector"]).T, c["verdict_id"].to_numpy()
+    parts = []
+    for start in range(0, len(q), SLICE):
+        sims = np.round(left[start:start + SLICE] @ right, 6)
+        order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        parts.append(pd.DataFrame({
+            "query_id": np.repeat(q["query_id"].to_numpy()[start:start + SLICE], order.shape[1]),
+            "verdict_id": names[order.ravel()],
+            "similarity": np.take_along_axis(sims, order, axis=1).ravel()}))
+    return pd.concat(parts)
 
 
 def similar_verdicts(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
