@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # AQE is what re-sizes shuffles, switches a join to a broadcast after measuring
 # its side, and splits a hot key of a shuffled join over several tasks.
@@ -31,14 +32,28 @@ def build_session(app: str = "tidewatch", master: str | None = None, **conf: str
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's `spark.checkpoint.dir`.
+    """A fresh folder under the cluster's `spark.checkpoint.dir`, deleted when the driver ends.
 
-    Only a local session without that setting gets a folder of its own, since
-    executors on other machines could not read one.
+    Only a session on this machine alone (`local`, as in tests) may lack that
+    setting; it gets a folder of its own. Executors elsewhere could not read one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = os.path.join(tempfile.gettempdir(), f"tidewatch-{os.getpid()}")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once as a table in the shared folder and read again.
+
+    Cuts the lineage in a way that survives lost executors, and gives every later
+    use the same rows and their true size.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
