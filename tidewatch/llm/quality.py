@@ -103,14 +103,12 @@ def fences(measures: DataFrame, least: int = LEAST, spread: float = SPREAD, accu
         bounds += [(low - reach).alias(f"{m}_low"), (high + reach).alias(f"{m}_high")]
     names = [f"{m}_{side}" for m in MEASURES for side in ("low", "high")]
     table = stored(sketched.select("lang", "source", "level", "n", F.struct(*bounds).alias("f")), "fences")
-    own, tongue, whole = (table.filter(F.col("level") == k) for k in (0, 1, 3))
+    own, tongue = table.filter("level = 0"), table.filter("level = 1")
     tongue = tongue.select(F.col("lang").alias("l2"), F.col("n").alias("n2"), F.col("f").alias("f2"))
-    # the level of all texts is one row (none for an empty table), added to each language's row by aggregation
-    whole = whole.select(F.lit(1).alias("one"), F.col("f").alias("f3"))
-    joined = own.withColumn("one", F.lit(1)).join(tongue, F.col("lang").eqNullSafe(F.col("l2")), "left")
-    joined = joined.join(whole, "one", "left")
-    chosen = (F.when(F.col("n") >= least, F.col("f")).when(F.col("n2") >= least, F.col("f2"))
-              .otherwise(F.col("f3")))
+    overall = table.filter("level = 3").select("f.*").first()  # one row
+    whole = F.struct(*(F.lit(overall[name] if overall else None).cast("double").alias(name) for name in names))
+    joined = own.join(tongue, F.col("lang").eqNullSafe(F.col("l2")), "left")
+    chosen = F.when(F.col("n") >= least, F.col("f")).when(F.col("n2") >= least, F.col("f2")).otherwise(whole)
     return joined.select(F.col("lang").alias("fence_lang"), F.col("source").alias("fence_source"),
                          *(chosen[name].alias(name) for name in names))
 
