@@ -73,8 +73,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, doc: str
     items = stored(test_items(benchmark, n, item, item_text), "test-items")
     lengths = sorted(r.k for r in items.select("k").distinct().collect())
     windows = {k: stored(test_windows(items, k), "test-windows") for k in lengths}
-    rows = docs.select(F.struct(*docs.columns).alias("row"), *_key(doc, text), F.col(text).alias("text"))
-    rows = evaluate_once(rows, words_of(F.col("text")), "words")
+    # one copy of the text is moved; its words are split again behind the join
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *_key(doc, text))
     if windows:
         found = stored(candidates(docs, windows, doc, text), "candidates")
         found = found.select(F.col("key_id").alias("hit_id"), F.col("key_text").alias("hit_text"), "found")
@@ -83,6 +83,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, doc: str
     else:
         rows = rows.withColumn("found", F.lit(None).cast("array<struct<at:int,window:array<string>,items:array<string>>>"))
     kind = rows.schema["found"].dataType
+    rows = evaluate_once(rows, words_of(F.col(f"row.{text}")), "words")
     equal = F.filter("found", lambda x: F.slice("words", x["at"], F.size(x["window"])) == x["window"])
     rows = evaluate_once(rows.select("row", "words", "found"), F.coalesce(equal, F.array().cast(kind)), "hits")
     covered = F.transform("hits", lambda x: F.sequence(x["at"], x["at"] + F.size(x["window"]) - 1))
