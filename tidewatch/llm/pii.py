@@ -124,9 +124,6 @@ _BRACKETED = re.compile(r"(?i) ?[\[({<] ?(?P<what>at|@|dot|\.|punkt|point|punto)
 _ENDINGS = "com|org|net|edu|gov|info|biz|io|co|dev|app|eu|uk|us|de|fr|es|it|nl|pl|ch|at|be|ca|au|in|jp"
 _BARE = re.compile(rf"(?i)(?<=[a-z0-9_%+-]) at (?=(?:[a-z0-9-]++(?: dot |\.))+(?:{_ENDINGS})(?![a-z0-9-]))")
 _BARE_DOT = re.compile(r"(?i)(?<=[a-z0-9]) dot (?=[a-z0-9])")
-_JOINERS = str.maketrans(",-.", "   ")
-
-
 _WIDE = re.compile(r"[^\x00-\xff]|\xad")
 
 
@@ -177,9 +174,13 @@ def _letters(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _words(text: str) -> list[str]:
+    return text.lower().replace(",", " ").replace("-", " ").replace(".", " ").split()
+
+
 def _spelled(text: str) -> list[tuple[int, int, str]]:
     edits = []
-    if _SPELLED.keys().isdisjoint(text.lower().translate(_JOINERS).split()):
+    if _SPELLED.keys().isdisjoint(_words(text)):
         return edits
     for run in _SPELLED_RUN.finditer(text):
         parts = [part[0].lower() for part in _SPELLED_PART.finditer(text, *run.span())]
