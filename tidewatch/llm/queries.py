@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, language, packing, pii, quality, sharding, simhash, tokens
-from tidewatch.session import stored
+from tidewatch.llm import decontaminate, language, licenses, packing, pii, quality, sharding, simhash, tokens, warc
+from tidewatch.session import scratch_path, stored
 
 SHARDS = 16
 
@@ -42,6 +42,15 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "offset")
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: a source's folders, with every 20th document as a licence file."""
+    folder = F.concat_ws("/", F.lit(""), "source", (F.col("doc_id") % 8).cast("string"))
+    path = F.when(F.col("doc_id") % 20 == 0, F.concat(folder, F.lit("/LICENSE"))).otherwise(
+        F.concat_ws("/", folder, (F.col("doc_id") % 3).cast("string"), F.concat("doc_id", F.lit(".txt"))))
+    files = _table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path"))
+    return licenses.scan(files).select("row.doc_id", "row.path", "own_license", "own_score", "license", "via")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_leaks(docs, _table(spark, sf_dir, "benchmark"))
@@ -61,6 +70,15 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(warc.planned(_table(spark, sf_dir, "pages")), path)
+    found = warc.read_archives(spark, path, with_payload=False)
+    return found.select(
+        warc.page_of(F.col("record_id")).cast("bigint").alias("page_id"), "payload_bytes", "payload_digest",
+        F.col("type").alias("record_type"), warc.page_of(F.col("refers_to")).cast("bigint").alias("refers_to"), "error")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     measures = quality.measured(docs).withColumn("doc_id", F.col("row.doc_id")).drop("row")
@@ -75,9 +93,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_personal_data": op3_personal_data,
     "op4_packing": op4_packing,
+    "op5_licenses": op5_licenses,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_counts": op7_token_counts,
     "op8_sharding": op8_sharding,
+    "op9_warc": op9_warc,
     "op10_quality": op10_quality,
 }
 
