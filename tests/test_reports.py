@@ -22,7 +22,7 @@ def test_latest_equals_self_join(data, rows):
     expected = (ti.alias("i").join(top.alias("t"), "dns_query_id").filter("last_scan = top")
                 .join(ar.select(F.col("id").alias("analysis_result_id")), "analysis_result_id"))
     assert rows(data.latest(), "id", "last_scan") == rows(expected, "id", "last_scan")
-    assert data.latest().count() == 1081 and data.latest().select("dns_query_id").distinct().count() == 1078
+    assert data.latest().count() == 1454 and data.latest().select("dns_query_id").distinct().count() == 1450
 
 
 def test_latest_row_with_dangling_verdict_removes_the_query(spark, rows):
@@ -42,7 +42,7 @@ def test_range_below_the_maximum_is_safe(data, rows):
 
 
 def test_stats_of_the_fixture_and_of_nothing(data):
-    assert tuple(data.stats().first())[:3] == (1081, 402, 37.19)
+    assert tuple(data.stats().first())[:3] == (1454, 542, 37.28)
     empty = reports.malicious_stats(data.latest().filter("false"), data.levels).first()
     assert tuple(empty) == (0, None, None, None, None)
 
@@ -57,19 +57,20 @@ def test_pending_shares_no_query_with_indicators(data):
     assert data.pending().count() == 103 and data.pending().join(seen, "dns_query_id", "left_semi").count() == 0
 
 
-def test_provider_lists_repeat_and_sort(spark, rows, monkeypatch):
+def test_provider_lists_repeat_and_sort(spark, rows):
     details = spark.createDataFrame([("i", 1), ("i", 3), ("i", 1), ("j", 9), ("k", 2)],
                                     "indicator_id string, source_id int")
     expected = [("i", "Abuse_URLhaus, VirusTotal, VirusTotal"), ("k", "Abuse_ThreatFox")]
     assert rows(reports.providers_per_indicator(details, schemas.source_providers(spark))) == expected
-    monkeypatch.setattr(reports, "MAX_COUNTERS", 2)
-    assert rows(reports.providers_per_indicator(details, schemas.source_providers(spark))) == expected
+    many = spark.createDataFrame([(i, f"p{i:03}") for i in range(300)] + [(300, None)], "id int, name string")
+    assert rows(reports.providers_per_indicator(details, many)) == [
+        ("i", "p001, p001, p003"), ("j", "p009"), ("k", "p002")]
 
 
 def test_stats_panel_gates_the_finished_row(data):
     inside, outside = ntz("2001-10-01 00:00:00"), ntz("2001-06-01 00:00:00")
     stats = data.stats()
-    assert panels.malicious_stats_panel(stats, inside, ntz("2002-01-01 00:00:00")).first()[0] == 1081
+    assert panels.malicious_stats_panel(stats, inside, ntz("2002-01-01 00:00:00")).first()[0] == 1454
     assert panels.malicious_stats_panel(stats, outside, inside).count() == 0
 
 

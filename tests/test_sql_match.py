@@ -7,8 +7,9 @@ import pytest
 
 import __spark_entry__ as contract
 from tests.conftest import SMALL
+from tidewatch.plans import catalog, oracles
 
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES, SQL = catalog.QUERIES, oracles.all_sql()
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN",
          "timestamp_ntz": "TIMESTAMP"}
 
@@ -25,9 +26,9 @@ def plain(value):
     return round(value, 9) if isinstance(value, float) else value
 
 
-def test_every_query_but_file_sizes_has_sql():
-    assert set(QUERIES) - set(SQL) == {"partition_info"}
-    assert not set(SQL) - set(QUERIES)
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(contract.queries()) and set(SQL) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -49,6 +50,7 @@ def test_entry_returns_rows(spark):
 
 
 def test_partition_info_reports_sizes(spark):
-    info = QUERIES["partition_info"](spark, SMALL).collect()
+    from tidewatch.operators import maintain
+    info = maintain.partition_info(spark, catalog._write_months(catalog.Data(spark, SMALL))).collect()
     assert sum(r.table_rows for r in info if r.table_name == "dns_queries") == 1000
-    assert all(r.total_mb == r.data_mb for r in info)
+    assert all(r.total_mb == r.data_mb and r.update_time for r in info)

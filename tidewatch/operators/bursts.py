@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from tidewatch.functions.times import epoch_seconds
 
 
+def trailing_failures(rows: DataFrame, group: list[str], window_seconds: int) -> DataFrame:
+    """Adds `failures`, the `hits` of the trailing window (both ends included), within each group of seconds."""
+    trailing = Window.partitionBy(*group).orderBy("second").rangeBetween(-window_seconds, 0)
+    return rows.withColumn("failures", F.sum("hits").over(trailing))
+
+
 def burst_offenders(df: DataFrame, key: str, ts: str, n: int = 3, window_seconds: int = 600,
                     ban_seconds: int = 86400) -> DataFrame:
     """Seconds at which a source reached `n` failures within the trailing window.
@@ -26,8 +32,7 @@ def burst_offenders(df: DataFrame, key: str, ts: str, n: int = 3, window_seconds
         F.struct((bucket + 1).alias("bucket"), F.lit(False).alias("own")))).alias("c")
     rows = seconds.withColumn("second", second).select(key, ts, "second", "hits", copies).select(
         key, ts, "second", "hits", "c.bucket", "c.own")
-    trailing = Window.partitionBy(key, "bucket").orderBy("second").rangeBetween(-window_seconds, 0)
-    counted = rows.withColumn("failures", F.sum("hits").over(trailing))
+    counted = trailing_failures(rows, [key, "bucket"], window_seconds)
     return counted.filter(F.col("own") & (F.col("failures") >= n)).select(
         key, F.col(ts).alias("flagged_at"), "failures",
         (F.col(ts) + F.make_dt_interval(secs=F.lit(ban_seconds))).alias("banned_until"))

@@ -80,3 +80,14 @@ def _by_list(dns: DataFrame, blocklist: DataFrame, how: str) -> DataFrame:
     keyed = dns.withColumn("_name", F.lower("domain"))
     names = blocklist.select(F.col("domain").alias("_name")).distinct()
     return spread_join(keyed, names, ["_name"], how).drop("_name")
+
+
+def whole_hours(df: DataFrame, col: str, start: Column, end: Column) -> DataFrame:
+    """Rows of all hours that the range touches.
+
+    Unlike the range itself this may be applied before hours are summed up: no hour is
+    cut, and the bounds reach the scan.
+    """
+    first = F.date_trunc("hour", start).cast("timestamp_ntz")
+    after = F.date_trunc("hour", end).cast("timestamp_ntz") + F.expr("interval 1 hour")
+    return df.filter((F.col(col) >= first) & (F.col(col) < after))

@@ -11,9 +11,6 @@ from tidewatch.functions.text import concat_distinct
 from tidewatch.functions.times import epoch_seconds, hour_label
 from tidewatch.operators.filters import malicious_legacy, malicious_only, with_level
 
-# Dictionary entries up to which providers get a counter each.
-MAX_COUNTERS = 64
-
 
 def pending_analysis(dns: DataFrame, ti: DataFrame) -> DataFrame:
     """DNS rows with an IPv4 answer that no indicator refers to yet.
@@ -130,36 +127,29 @@ def dns_hourly_traffic(dns: DataFrame) -> DataFrame:
 def providers_per_indicator(details: DataFrame, providers: DataFrame) -> DataFrame:
     """Provider names of an indicator in order, repeated rows repeated.
 
-    Details are only counted per provider, in one shuffle with map-side combine,
-    and the list is written from the counts: however many rows an indicator has,
-    no task gathers them. A dictionary too long for one counter per entry is
-    counted by key instead, which takes a second shuffle.
+    Details are counted per indicator and provider with map-side combine, and the
+    list is written from the counts: however many rows an indicator has, its group
+    holds a row per provider. Ids without a name are left out.
     """
-    names = providers.select("id", "name").limit(MAX_COUNTERS + 1).collect()
-    if len(names) > MAX_COUNTERS:
-        counted = details.groupBy("indicator_id", "source_id").agg(F.count("*").cast("int").alias("n"))
-        named = counted.join(providers.select(F.col("id").alias("source_id"), "name"), "source_id")
-        entries = F.array_sort(F.collect_list(F.struct("name", "n")))
-        repeated = F.flatten(F.transform(entries, lambda e: F.array_repeat(e["name"], e["n"])))
-        return named.groupBy("indicator_id").agg(F.concat_ws(", ", repeated).alias("providers"))
-    ordered = sorted(names, key=lambda row: row["name"])
-    counters = [F.count_if(F.col("source_id") == row["id"]).alias(f"n{i}") for i, row in enumerate(ordered)]
-    lists = [F.array_repeat(F.lit(row["name"]), F.col(f"n{i}").cast("int")) for i, row in enumerate(ordered)]
-    known = details.filter(F.col("source_id").isin([row["id"] for row in ordered]))
-    return known.groupBy("indicator_id").agg(*counters).select(
-        "indicator_id", F.concat_ws(", ", *lists).alias("providers"))
+    counted = details.groupBy("indicator_id", "source_id").agg(F.count("*").cast("int").alias("n"))
+    named = counted.join(providers.filter("name is not null").select(F.col("id").alias("source_id"), "name"), "source_id")
+    entries = F.array_sort(F.collect_list(F.struct("name", "n")))
+    repeated = F.flatten(F.transform(entries, lambda e: F.array_repeat(e["name"], e["n"])))
+    return named.groupBy("indicator_id").agg(F.concat_ws(", ", repeated).alias("providers"))
 
 
 def _explore(ne: DataFrame, dns: DataFrame, ti: DataFrame, verdicts: DataFrame, details: DataFrame,
              providers: DataFrame) -> DataFrame:
     """Events of the given verdicts. Starts from the verdicts, the selective side,
-    so that indicators and events are cut down before they are joined further."""
-    listed = providers_per_indicator(details, providers).withColumnRenamed("indicator_id", "threat_indicator_id")
+    so that indicators and events are cut down before they are joined further, and
+    providers are listed for its indicators alone."""
     flagged = (ti.select(F.col("id").alias("threat_indicator_id"), "analysis_result_id")
                .join(verdicts.withColumnRenamed("id", "analysis_result_id"), "analysis_result_id"))
     events = (ne.withColumnRenamed("id", "event_id")
               .join(flagged, "threat_indicator_id")
               .join(dns.select(F.col("id").alias("dns_query_id"), F.col("domain").alias("fqdn")), "dns_query_id"))
+    wanted = details.join(flagged.select(F.col("threat_indicator_id").alias("indicator_id")), "indicator_id", "left_semi")
+    listed = providers_per_indicator(wanted, providers).withColumnRenamed("indicator_id", "threat_indicator_id")
     return spread_join(events, listed, ["threat_indicator_id"], "left")
 
 
@@ -232,5 +222,5 @@ def score_envelope(alerts: DataFrame) -> DataFrame:
 
 
 def last_not_null(df: DataFrame, col: str, order: str) -> DataFrame:
-    """Panel reducer: the last value of `col` by `order` that is not NULL."""
-    return df.filter(F.col(col).isNotNull()).agg(F.max_by(col, order).alias(col))
+    """Panel reducer: the last value of `col` by `order` that is not NULL, the greater one on a tie."""
+    return df.filter(F.col(col).isNotNull()).agg(F.max(F.struct(order, F.col(col).alias("value")))["value"].alias(col))

@@ -60,8 +60,10 @@ def top_similar(queries: DataFrame, corpus: DataFrame, k: int = 5, min_similarit
     id. They are cut into blocks by id, and each pair of blocks is one group: a
     matrix product of bounded size that passes on only `k` rows per query.
     Neither side is broadcast, and no pair of vectors becomes a row. The two
-    counts that size the grid read no vectors.
+    counts that size the grid read no vectors. Vectors that are NULL, hold a NULL
+    or have no length have no direction: such queries and entries have no result.
     """
+    queries, corpus = _with_direction(queries), _with_direction(corpus)
     query_blocks = max(1, ceil(queries.count() / QUERY_BLOCK))
     corpus_blocks = max(1, ceil(corpus.count() / CORPUS_BLOCK))
 
@@ -84,6 +86,11 @@ def top_similar(queries: DataFrame, corpus: DataFrame, k: int = 5, min_similarit
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def _with_direction(df: DataFrame) -> DataFrame:
+    squares = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
+    return df.filter(squares > 0)
+
+
 def _unit_rows(vectors: pd.Series) -> np.ndarray:
     rows = np.stack(vectors.to_numpy()).astype(np.float64)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
@@ -133,9 +140,10 @@ def hash_mismatches(current: DataFrame, master: DataFrame) -> DataFrame:
     """Files whose latest hash differs from the master list, or that one side lacks.
 
     `current` has path, hash, seen_at and may hold many observations of a file;
-    they are reduced to the latest before the join.
+    they are reduced to the latest before the join; of several at one time, the
+    greatest hash counts.
     """
-    now = current.groupBy("path").agg(F.max_by("hash", "seen_at").alias("current_hash"))
+    now = current.groupBy("path").agg(F.max(F.struct("seen_at", "hash"))["hash"].alias("current_hash"))
     known = master.select("path", F.col("hash").alias("master_hash"))
     both = now.join(known, "path", "full_outer").filter(~F.col("current_hash").eqNullSafe(F.col("master_hash")))
     status = (F.when(F.col("current_hash").isNull(), "missing")

@@ -258,12 +258,17 @@ def malicious_stats_panel_out_of_range(d: Data) -> DataFrame:
 
 @query
 def daily_trend_panel(d: Data) -> DataFrame:
-    return panels.daily_trend_panel(d.trends(), ntz("2001-01-01 06:00:00"), ntz(SCAN_END))
+    start, end = ntz("2001-01-01 06:00:00"), ntz(SCAN_END)
+    # scans before the range are never shown; later ones can replace one that would be
+    recent = reports.latest_threat_reports(d.threat_indicators.filter(F.col("last_scan") >= start), d.ai_analysis_results)
+    return panels.daily_trend_panel(reports.daily_trends(recent, d.levels), start, end)
 
 
 @query
 def hourly_panel(d: Data) -> DataFrame:
-    return panels.hourly_panel(reports.dns_hourly_traffic(d.dns_queries), ntz(DNS_START), ntz(DNS_END))
+    start, end = ntz(DNS_START), ntz(DNS_END)
+    shown = filters.whole_hours(d.dns_queries, "timestamp", start, end)
+    return panels.hourly_panel(reports.dns_hourly_traffic(shown), start, end)
 
 
 @query
@@ -573,8 +578,9 @@ def _write_months(d: Data) -> dict[str, str]:
 
 @query
 def partition_info(d: Data) -> DataFrame:
-    """Sizes depend on the files as written, so only rows can be compared."""
-    return maintain.partition_info(d.spark, _write_months(d))
+    """Without the sizes and times, which depend on the files as written."""
+    info = maintain.partition_info(d.spark, _write_months(d))
+    return info.select("table_name", "partition_name", "partition_expression", "upper_bound", "table_rows")
 
 
 @query
@@ -636,9 +642,9 @@ def burst_offenders_ten_minutes(d: Data) -> DataFrame:
 @query
 def streamed_bursts(d: Data) -> DataFrame:
     out = scratch_path(d.spark, "bursts")
-    jobs.drain(jobs.stream_bursts(d.stream("failures"), "source", "failed_at", 3, "24 hours", "6 hours"),
-               out, scratch_path(d.spark, "state"))
-    return d.spark.read.parquet(out)
+    jobs.stream_bursts(d.stream("failures"), "source", "failed_at", out, scratch_path(d.spark, "state"), 3, 86400,
+                       availableNow=True).awaitTermination()
+    return d.spark.read.parquet(out).drop("batch_id")
 
 
 # --- planned items ---------------------------------------------------------

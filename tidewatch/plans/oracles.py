@@ -471,6 +471,10 @@ SQL: dict[str, str] = {
         FROM threat_indicators GROUP BY ALL""",
     "partition_counts": "SELECT table_name, count(*) AS partitions FROM months GROUP BY table_name",
     "partition_sample": "SELECT * FROM months ORDER BY table_name, partition_name LIMIT 10",
+    "partition_info": """
+        SELECT table_name, partition_name, 'ym' AS partition_expression, table_rows,
+               cast(cast(strptime(partition_name || '01', 'p%Y%m%d') + INTERVAL 1 MONTH AS date) AS varchar) AS upper_bound
+        FROM months WHERE table_name <> 'network_events'""",
     "stored_partition_rows": """
         SELECT *, true AS has_size FROM months WHERE table_name <> 'network_events'""",
     "stored_months_in_range": f"""
@@ -498,12 +502,12 @@ SQL: dict[str, str] = {
         FROM (SELECT *, count(*) OVER (PARTITION BY source ORDER BY failed_at
                 RANGE BETWEEN INTERVAL 10 MINUTES PRECEDING AND CURRENT ROW) AS n FROM failures) WHERE n >= 2""",
     "streamed_bursts": """
-        SELECT source, w AS window_start, count(*) AS failures, max(failed_at) AS flagged_at,
-               max(failed_at) + INTERVAL 1 DAY AS banned_until
-        FROM (SELECT source, failed_at, time_bucket(INTERVAL 6 HOURS, failed_at, timestamp '1970-01-01') - o AS w
-              FROM failures, unnest([INTERVAL 0 HOURS, INTERVAL 6 HOURS, INTERVAL 12 HOURS, INTERVAL 18 HOURS]) AS u(o))
-        GROUP BY source, w
-        HAVING count(*) >= 3 AND w + INTERVAL 24 HOURS <= (SELECT max(failed_at) - INTERVAL 10 MINUTES FROM failures)""",
+        SELECT source, flagged_at, failures, banned_until FROM (
+          SELECT DISTINCT source, failed_at AS flagged_at, n AS failures, failed_at + INTERVAL 1 DAY AS banned_until
+          FROM (SELECT *, count(*) OVER (PARTITION BY source ORDER BY failed_at
+                  RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS n FROM failures) WHERE n >= 3)
+        WHERE date_trunc('day', flagged_at) + INTERVAL 1 DAY
+              <= (SELECT max(failed_at) - INTERVAL 10 MINUTES FROM failures)""",
     "verdict_documents": """
         SELECT a.id AS verdict_id, q.response_ip AS observable_ip, a.threat_score, n.last_scan,
                concat_ws(' | ', q.domain, a.threat_label, 'score ' || a.threat_score, a.verdict_summary_en,

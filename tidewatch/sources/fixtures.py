@@ -1,11 +1,13 @@
 """The reference tables, derived from the test data.
 
-Each table is a list of (source, expressions, condition) parts that are united.
+Each table is a list of (source, expressions) parts that are united; the failures have
+a condition as well, as they are the failed events.
 The expressions use SQL that Spark and DuckDB share, so that both engines start
 from the same rows; what is compared are the operators on top. All of it is
-column-wise: no derivation shuffles. Conditions such as `l_orderkey % 4 <> 0`
-are part of the data model, not sampling: they leave queries without indicator,
-indicators without verdict and events without link, which the operators must meet.
+column-wise: no derivation shuffles, and every source row gives a row. Some keys are
+shifted to values without a partner (negative numbers, a `none-` prefix). They leave
+queries without indicator, indicators without verdict and events without link, which
+the operators must meet.
 """
 
 from __future__ import annotations
@@ -23,6 +25,20 @@ INDICATOR_ID = ("concat(cast(l_orderkey as string), '-', cast(l_partkey as strin
 ISO_TS = "concat(replace(cast(date_trunc('second', ts) as string), ' ', 'T'), 'Z')"
 HAS_ANSWER = "event_id % 3 <> 0 AND event_id % 10 NOT IN (1, 2, 3, 4)"
 
+
+def shifted(key: str, condition: str) -> str:
+    """A text key, or where the condition fails one that has no partner."""
+    return f"CASE WHEN {condition} THEN {key} ELSE concat('none-', {key}) END"
+
+
+def negated(key: str, condition: str) -> str:
+    """A number, or where the condition fails its negative, which has no partner."""
+    return f"CASE WHEN {condition} THEN {key} ELSE -{key} END"
+
+
+LINKED = "l_orderkey % 4 <> 0"
+STORED_ID = shifted(INDICATOR_ID, LINKED)
+
 VT_JSON = ("CASE WHEN event_id % 11 = 0 THEN '{\"error\":{\"code\":\"NotFoundError\"}}' ELSE concat("
            "'{\"data\":{\"attributes\":{\"last_analysis_stats\":{\"malicious\":', cast(event_id % 4 as string), "
            "',\"suspicious\":', cast(event_id % 5 % 2 as string), ',\"undetected\":60},\"as_owner\":\"', "
@@ -61,7 +77,7 @@ LOG_LINE = (
     f"WHEN 7 THEN concat('reply ', repeat('a', cast(240 + event_id % 20 as int)), '.com is NODATA-IPv6') "
     f"ELSE concat('query[HTTPS]  ', {DOMAIN}, '  from  ', {CLIENT_IP}) END)")
 
-TABLES: dict[str, list[tuple[str, list[str], str]]] = {
+TABLES: dict[str, list[tuple]] = {
     "dns_queries": [("events", [
         "event_id AS id",
         "date_trunc('second', ts) AS timestamp",
@@ -73,29 +89,29 @@ TABLES: dict[str, list[tuple[str, list[str], str]]] = {
         "CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 10 = 1 THEN 'NXDOMAIN' "
         "WHEN event_id % 10 = 2 THEN '<CNAME>' WHEN event_id % 10 = 3 THEN '2001:db8::1' "
         f"WHEN event_id % 10 = 4 THEN '999.1.2.3' ELSE {ANSWER_IP} END AS response_ip",
-    ], "true")],
+    ])],
     "threat_indicators": [("lineitem", [
-        f"{INDICATOR_ID} AS id", "l_orderkey AS dns_query_id", "2 AS type_id", "l_partkey AS analysis_result_id",
-        "l_shipdate AS last_scan", "cast(l_quantity as int) AS scan_count",
-    ], "l_orderkey % 4 <> 0")],
+        f"{STORED_ID} AS id", f"{negated('l_orderkey', LINKED)} AS dns_query_id", "2 AS type_id",
+        "l_partkey AS analysis_result_id", "l_shipdate AS last_scan", "cast(l_quantity as int) AS scan_count",
+    ])],
     "ai_analysis_results": [("part", [
-        "p_partkey AS id", "1 + p_size % 5 AS threat_score", "p_type AS threat_label",
+        f"{negated('p_partkey', 'p_partkey % 50 <> 0')} AS id", "1 + p_size % 5 AS threat_score", "p_type AS threat_label",
         "p_name AS verdict_summary_en", "p_brand AS analysis_pl",
         "cast(p_size * 1.5 as decimal(5, 2)) AS confidence_score",
-    ], "p_partkey % 50 <> 0")],
+    ])],
     # Verdicts on the older ten-point scale.
     "legacy_results": [("part", [
-        "p_partkey AS id", "1 + p_size % 10 AS threat_score", "p_type AS threat_label",
+        f"{negated('p_partkey', 'p_partkey % 50 <> 0')} AS id", "1 + p_size % 10 AS threat_score", "p_type AS threat_label",
         "p_name AS verdict_summary_en", "p_brand AS analysis_pl",
         "cast(p_size * 1.5 as decimal(5, 2)) AS confidence_score",
-    ], "p_partkey % 50 <> 0")],
+    ])],
     "threat_indicator_details": [
-        ("lineitem", [f"concat({INDICATOR_ID}, '/1') AS id", f"{INDICATOR_ID} AS indicator_id",
-                      "cast(1 + l_suppkey % 4 as int) AS source_id"],
-         "l_orderkey % 4 <> 0 AND l_linenumber <> 7"),
-        ("lineitem", [f"concat({INDICATOR_ID}, '/2') AS id", f"{INDICATOR_ID} AS indicator_id",
-                      "cast(1 + (l_suppkey + 1) % 4 as int) AS source_id"],
-         "l_orderkey % 4 <> 0 AND l_linenumber IN (2, 4, 6)"),
+        ("lineitem", [f"concat({STORED_ID}, '/1') AS id",
+                      f"{shifted(STORED_ID, 'l_linenumber <> 7')} AS indicator_id",
+                      "cast(1 + l_suppkey % 4 as int) AS source_id"]),
+        ("lineitem", [f"concat({STORED_ID}, '/2') AS id",
+                      f"{shifted(STORED_ID, 'l_linenumber IN (2, 4, 6)')} AS indicator_id",
+                      "cast(1 + (l_suppkey + 1) % 4 as int) AS source_id"]),
     ],
     "network_events": [("lineitem", [
         "concat(cast(l_orderkey as string), '@', cast(l_linenumber as string), '@', cast(l_partkey as string), '@', "
@@ -108,39 +124,36 @@ TABLES: dict[str, list[tuple[str, list[str], str]]] = {
         "concat('https://d', cast(l_partkey as string), '.example.com/p') AS request_url",
         "CASE l_returnflag WHEN 'R' THEN 'alert' WHEN 'A' THEN 'flow' ELSE 'http_request' END AS event_type",
         "CASE WHEN l_returnflag = 'R' THEN 'blocked' ELSE 'allowed' END AS action_taken",
-    ], "true")],
+    ])],
     "raw_reports": [
-        ("events", ["concat('vt-', cast(event_id as string)) AS doc_id", f"{ANSWER_IP} AS resource", "'IP' AS type",
-                    "'VirusTotal' AS source_provider", f"{ISO_TS} AS scan_date", f"{VT_JSON} AS raw_data"],
-         HAS_ANSWER),
-        ("events", ["concat('tf-', cast(event_id as string)) AS doc_id", f"{DOMAIN} AS resource", "'FQDN' AS type",
-                    "'Abuse_ThreatFox' AS source_provider", f"{ISO_TS} AS scan_date", f"{TF_JSON} AS raw_data"],
-         "user_id % 3 <> 0"),
-        ("events", ["concat('uh-', cast(event_id as string)) AS doc_id", f"{DOMAIN} AS resource", "'FQDN' AS type",
-                    "'Abuse_URLhaus' AS source_provider", f"{ISO_TS} AS scan_date", f"{UH_JSON} AS raw_data"],
-         "user_id % 2 = 0"),
+        ("events", ["concat('vt-', cast(event_id as string)) AS doc_id", f"{shifted(ANSWER_IP, HAS_ANSWER)} AS resource", "'IP' AS type",
+                    "'VirusTotal' AS source_provider", f"{ISO_TS} AS scan_date", f"{VT_JSON} AS raw_data"]),
+        ("events", ["concat('tf-', cast(event_id as string)) AS doc_id", f"{shifted(DOMAIN, 'user_id % 3 <> 0')} AS resource", "'FQDN' AS type",
+                    "'Abuse_ThreatFox' AS source_provider", f"{ISO_TS} AS scan_date", f"{TF_JSON} AS raw_data"]),
+        ("events", ["concat('uh-', cast(event_id as string)) AS doc_id", f"{shifted(DOMAIN, 'user_id % 2 = 0')} AS resource", "'FQDN' AS type",
+                    "'Abuse_URLhaus' AS source_provider", f"{ISO_TS} AS scan_date", f"{UH_JSON} AS raw_data"]),
     ],
     # Model output for observables: free text that should hold one JSON object.
     "verdict_texts": [("events", [
-        "event_id AS dns_query_id", f"{DOMAIN} AS fqdn", f"{ANSWER_IP} AS observable_ip",
+        f"{negated('event_id', HAS_ANSWER)} AS dns_query_id", f"{DOMAIN} AS fqdn", f"{ANSWER_IP} AS observable_ip",
         f"{VERDICT_TEXT} AS output",
-    ], HAS_ANSWER)],
-    "log_lines": [("events", [f"{LOG_LINE} AS value"], "true")],
+    ])],
+    "log_lines": [("events", [f"{LOG_LINE} AS value"])],
     "list_lines": [("pages", [
         "CASE page_id % 4 WHEN 0 THEN concat('0.0.0.0 ', split_part(split_part(url, '://', 2), '/', 1), ' # listed') "
         "WHEN 1 THEN concat('  ', upper(split_part(split_part(url, '://', 2), '/', 1))) "
         "WHEN 2 THEN '# a comment' ELSE concat('127.0.0.1 localhost d', cast(page_id as string), '.example.com') END "
-        "AS value"], "true")],
+        "AS value"])],
     "list_addresses": [("pages", [
-        "CASE WHEN page_id % 5 = 0 THEN '   ' ELSE concat('  ', split_part(url, '?', 1), ' ') END AS value"], "true")],
+        "CASE WHEN page_id % 5 = 0 THEN '   ' ELSE concat('  ', split_part(url, '?', 1), ' ') END AS value"])],
     "user_devices": [("customer", [
         "concat('192.168.1.', cast(c_custkey as string)) AS source_ip", "c_name AS user_name",
-        "c_mktsegment AS device"], "true")],
+        "c_mktsegment AS device"])],
     "failures": [("events", [
         "user_id AS source", "date_trunc('second', ts) AS failed_at"], "event_type = 'error'")],
-    "verdict_vectors": [("embeddings", ["vec_id AS verdict_id", "embedding AS vector"], "true")],
+    "verdict_vectors": [("embeddings", ["vec_id AS verdict_id", "embedding AS vector"])],
     "file_hashes": [("documents", [
-        "concat('/srv/', source, '/', cast(doc_id as string)) AS path", "n_chars AS seen_at", "text AS content"], "true")],
+        "concat('/srv/', source, '/', cast(doc_id as string)) AS path", "n_chars AS seen_at", "text AS content"])],
 }
 
 # Wall-clock columns that a SQL expression above would give a session zone.
@@ -150,12 +163,12 @@ _NTZ = {"timestamp", "failed_at"}
 def derive(spark: SparkSession, sf_dir: str, table: str, streaming: bool = False) -> DataFrame:
     """One reference table from the parquet files of a scale-factor folder."""
     parts = []
-    for source, expressions, condition in TABLES[table]:
+    for source, expressions, *condition in TABLES[table]:
         rows = spark.read.parquet(f"{sf_dir}/{source}.parquet")
         if streaming:
             rows = (spark.readStream.schema(rows.schema)
                     .option("pathGlobFilter", f"{source}.parquet").parquet(sf_dir))
-        parts.append(rows.filter(condition).selectExpr(*expressions))
+        parts.append(rows.filter(condition[0] if condition else "true").selectExpr(*expressions))
     df = reduce(DataFrame.unionAll, parts)
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in df.columns if c in _NTZ})
 
@@ -163,5 +176,5 @@ def derive(spark: SparkSession, sf_dir: str, table: str, streaming: bool = False
 def derivation_sql(table: str) -> str:
     """The same derivation for a SQL engine that has the source tables as views."""
     return " UNION ALL ".join(
-        f"SELECT {', '.join(expressions)} FROM {source} WHERE {condition}"
-        for source, expressions, condition in TABLES[table])
+        f"SELECT {', '.join(expressions)} FROM {source} WHERE {condition[0] if condition else 'true'}"
+        for source, expressions, *condition in TABLES[table])

@@ -11,7 +11,9 @@ LOCAL_NAMES = ["localhost", "localhost.localdomain", "local", "broadcasthost", "
 
 def seed_dictionary(existing: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """`existing` plus those rows whose key it does not hold yet."""
-    fresh = rows.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
+    # of rows with one new key, the smallest counts
+    first = rows.groupBy(key).agg(F.min(F.struct(*rows.columns)).alias("row")).select("row.*")
+    fresh = first.join(existing.select(key), key, "left_anti")
     return existing.unionByName(fresh)
 
 
@@ -34,6 +36,6 @@ def compile_blocklist(lines: DataFrame) -> DataFrame:
     """
     text = F.trim(F.substring_index("value", "#", 1), F.lit(" \t\r\n"))
     words = F.split(F.lower(text), r"[ \t]+")
-    names = F.when(F.size(words) > 1, F.slice(words, 2, 1_000_000)).otherwise(words)
+    names = F.when(F.size(words) > 1, F.slice(words, 2, F.size(words))).otherwise(words)
     domain = lines.filter(text != "").select(F.explode(names).alias("domain"))
     return domain.filter(~F.col("domain").isin(LOCAL_NAMES)).dropDuplicates()

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewatch.functions.times import as_instant, as_wall_clock, hour_label
+from tidewatch.operators.bursts import trailing_failures
 from tidewatch.operators.reports import pending_analysis
-from tidewatch.sources.logs import parse_dns_lines, read_dns_log, write_dns
+from tidewatch.sources.logs import parse_dns_lines, read_dns, read_dns_log, write_dns
 
 WATERMARK = "10 minutes"
 
@@ -30,6 +31,17 @@ def stream_dns(spark: SparkSession, in_dir: str, out: str, checkpoint: str, now:
             .trigger(**(trigger or {"processingTime": "1 minute"})).start())
 
 
+def compact_dns(spark: SparkSession, staged: str, out: str, before: str) -> None:
+    """Moves the finished months (`yyyyMM` below `before`) of a stream's output into plain month folders.
+
+    `stream_dns` writes a folder per batch. This rewrites whole months without the batch
+    level, replacing a month that was moved before, so it can run again at any time.
+    """
+    for status in ("accepted", "rejected"):
+        rows = read_dns(spark, staged, status).filter((F.col("ym") < before)).drop("batch_id", "ym")
+        write_dns(rows, out, "overwrite")
+
+
 def stream_hourly(dns: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     """Hourly traffic of a stream, exact, emitted once an hour is closed.
 
@@ -59,7 +71,9 @@ def stream_pending(dns: DataFrame, indicators: Callable[[], DataFrame], out: str
                    **trigger) -> StreamingQuery:
     """Queue the new observables of each batch; `indicators` reads the table anew each time."""
     def queue(batch: DataFrame, batch_id: int) -> None:
-        (pending_analysis(batch, indicators()).withColumn("batch_id", F.lit(batch_id))
+        # only indicators of the batch's queries take part
+        known = indicators().join(batch.select(F.col("id").alias("dns_query_id")), "dns_query_id", "left_semi")
+        (pending_analysis(batch, known).withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(out))
 
@@ -67,17 +81,43 @@ def stream_pending(dns: DataFrame, indicators: Callable[[], DataFrame], out: str
             .trigger(**(trigger or {"processingTime": "3 minutes"})).start())
 
 
-def stream_bursts(failures: DataFrame, key: str, ts: str, n: int = 3, window: str = "10 minutes",
-                  slide: str = "1 minute", ban_seconds: int = 86400, watermark: str = WATERMARK) -> DataFrame:
-    """Burst rule on a stream: sliding windows in which a source reaches `n` failures."""
+def stream_bursts(failures: DataFrame, key: str, ts: str, out: str, checkpoint: str, n: int = 3,
+                  window_seconds: int = 600, ban_seconds: int = 86400, watermark: str = WATERMARK,
+                  **trigger) -> StreamingQuery:
+    """The burst rule on a stream, with the result of the batch rule once a window is closed.
+
+    Windows are two lengths long and slide by one, so every second lies in the later
+    half of exactly one of them, together with all of its history. State is a count per
+    source, window and second; a closed window is evaluated as the batch rule does it.
+    """
+    length = f"{window_seconds} seconds"
     at = failures.select(key, as_instant(F.col(ts)).alias("at"))
-    counted = (at.withWatermark("at", watermark).groupBy(key, F.window("at", window, slide).alias("w"))
-               .agg(F.count("*").alias("failures"), F.max("at").alias("flagged_at")))
-    ban = F.make_dt_interval(secs=F.lit(ban_seconds))
-    return counted.filter(F.col("failures") >= n).select(
-        key, as_wall_clock(F.col("w.start")).alias("window_start"), "failures",
-        as_wall_clock(F.col("flagged_at")).alias("flagged_at"),
-        (as_wall_clock(F.col("flagged_at")) + ban).alias("banned_until"))
+    counted = (at.withWatermark("at", watermark)
+               .groupBy(key, F.window("at", f"{2 * window_seconds} seconds", length).alias("w"),
+                        F.unix_seconds("at").alias("second"))
+               .agg(F.count("*").alias("hits")))
+
+    def flag(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select(key, "hits", "second", F.unix_seconds("w.start").alias("start"))
+        found = trailing_failures(rows, [key, "start"], window_seconds).filter(
+            (F.col("second") >= F.col("start") + window_seconds) & (F.col("failures") >= n))
+        flagged = as_wall_clock(F.timestamp_seconds("second"))
+        ban = F.make_dt_interval(secs=F.lit(ban_seconds))
+        (found.select(key, flagged.alias("flagged_at"), "failures", (flagged + ban).alias("banned_until"),
+                      F.lit(batch_id).alias("batch_id"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out))
+
+    return (counted.writeStream.foreachBatch(flag).outputMode("append").option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"processingTime": "1 minute"})).start())
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """How many rows came after the watermark and were left out, in the progress that the query still holds.
+
+    The batch forms count such rows; a stream cannot, once it has closed their window.
+    """
+    return sum(state["numRowsDroppedByWatermark"] for progress in query.recentProgress
+               for state in progress["stateOperators"])
 
 
 def drain(df: DataFrame, out: str, checkpoint: str) -> None:
