@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, language, licenses, packing, pii, quality, sharding, simhash, tokens, warc
+from tidewatch.llm import decontaminate, language, licenses, oracles, packing, pii, quality, sharding, simhash, tokens, warc
 from tidewatch.session import scratch_path, stored
 
 SHARDS = 16
@@ -101,4 +101,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-SQL: dict[str, str] = {}
+SQL = oracles.SQL
