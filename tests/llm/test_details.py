@@ -1,0 +1,409 @@
+"""Single operators on cases made for them, the SQL equivalents and the pipeline."""
+
+from __future__ import annotations
+
+import os
+import random
+import re
+import subprocess
+import sys
+import time
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pandas as pd
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from tests.conftest import SMALL
+from tests.llm import brute
+from tidewatch.llm import (decontaminate, graph, language, licenses, packing, pii, quality, queries, sharding,
+                           simhash, tokens, warc)
+
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def engine(folder):
+    con = duckdb.connect()
+    for file in os.listdir(folder):
+        con.execute(f"CREATE VIEW {file.removesuffix('.parquet')} AS SELECT * FROM '{folder}/{file}'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_equals_sql(spark, name):
+    found = queries.QUERIES[name](spark, SMALL)
+    expected = engine(SMALL).execute(queries.SQL[name]).fetchdf()
+    assert sorted(found.columns) == sorted(expected.columns)
+    found = found.select(*expected.columns).toPandas()
+    assert sorted(map(repr, found.astype(object).where(found.notna(), None).values.tolist())) == sorted(
+        map(repr, expected.astype(object).where(expected.notna(), None).values.tolist()))
+
+
+# --- language ---------------------------------------------------------------
+
+def test_forward_sums_every_segmentation():
+    pieces = language.read_pieces()
+    ids = sorted({i for i in pieces.values() if i >= 0})
+    rng = np.random.default_rng(3)
+    p = np.zeros((max(ids) + 2, 2))
+    p[ids] = rng.random((len(ids), 2)) / 100
+    p[-1] = 1.0
+
+    def total(text):
+        sums = [np.ones(2)]
+        for end in range(1, len(text) + 1):
+            here = np.zeros(2)
+            for start in range(end):
+                piece = pieces.get(text[start:end], -1)
+                if piece >= 0:
+                    here = here + sums[start] * p[piece]
+                elif end == start + 1:
+                    spelled = [pieces[f"<0x{b:02X}>"] for b in text[start].encode()]
+                    here = here + sums[start] * p[spelled].prod(axis=0)
+            sums.append(here)
+        return np.log(sums[-1])
+
+    words = ["the", "Überraschung", "日本語", "a", "x" * 39, "naïve-co-op"]
+    assert np.allclose(language.log_words(words, pieces, p), [total("▁" + w) for w in words])
+    long = "abcdefghij" * 9
+    parts = [long[i:i + language.SHORT] for i in range(0, len(long), language.SHORT)]
+    assert np.allclose(language.log_words([long], pieces, p)[0], sum(total("▁" + w) for w in parts))
+
+
+def test_training_raises_the_likelihood_and_too_many_languages_stop(spark, monkeypatch):
+    docs = spark.createDataFrame([("the cat and the dog", "en"), ("der Hund und die Katze", "de"), (None, "en"),
+                                  ("le chat", None)], "text string, lang string")
+    one, three = (language.fit(docs, rounds=n) for n in (1, 3))
+    pieces = language.read_pieces()
+    words = ["the", "cat", "and", "dog"]
+    assert one.languages == ["de", "en"]
+    assert (language.log_words(words, pieces, three.p)[:, 1].sum()
+            > language.log_words(words, pieces, one.p)[:, 1].sum())
+    sampled = language.fit(docs, sample=1)
+    assert set(sampled.languages) <= {"de", "en"}
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        language.fit(docs)
+
+
+# --- near-duplicates --------------------------------------------------------
+
+def test_links_equal_brute_force_on_dense_and_sparse_groups(spark):
+    rnd = random.Random(4)
+    centre = rnd.getrandbits(64)
+    marks = [centre ^ sum(1 << b for b in rnd.sample(range(64), rnd.randrange(5))) for _ in range(250)]
+    chain = rnd.getrandbits(64)
+    for step in range(20):  # a long chain of small steps
+        chain ^= sum(1 << b for b in rnd.sample(range(64), 3))
+        marks.append(chain)
+    marks += [rnd.getrandbits(64) for _ in range(100)] + [0, 0, 7, 1 << 63, (1 << 64) - 1]
+    rows = [(i, m - (1 << 64) if m >> 63 else m) for i, m in enumerate(marks)]
+    nodes = {r.node: r.component for r in simhash.links(
+        spark.createDataFrame(rows, "id long, fp long")).collect()}
+    groups = {}
+    for i, fp in rows:
+        groups.setdefault(nodes.get(fp, fp), []).append(i)
+    expected = {}
+    for i, root in enumerate(brute.components(list(range(len(marks))), marks)):
+        expected.setdefault(root, []).append(i)
+    assert sorted(groups.values()) == sorted(expected.values())
+
+
+def test_pivot_coordinates_never_exceed_the_distance(spark):
+    rnd = random.Random(5)
+    fps = [rnd.getrandbits(64) - (1 << 63) for _ in range(50)]
+    fps += [f ^ 5 for f in fps]
+    rows = simhash.distance_table(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()
+    for a in rows[:50]:
+        for b in rows:
+            distance = bin((a.fp ^ b.fp) & (1 << 64) - 1).count("1")
+            assert max(abs(x - y) for x, y in zip(a.p, b.p)) <= distance
+
+
+def test_fingerprint_of_long_text_equals_its_slices(monkeypatch):
+    text = " ".join(random.Random(6).choice(["a", "B", "é", "dd"]) for _ in range(500))
+    whole = simhash.fingerprint(text)
+    monkeypatch.setattr(simhash, "SLICE", 7)
+    assert whole == simhash.fingerprint(text) and whole % 2 ** 64 == brute.simhash(text)
+
+
+def test_one_of_each_keeps_one_row_per_group(spark, rows):
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(3, text, 1), (2, text, 2), (2, text, 2), (9, "other words entirely", 3),
+                                  (None, text, 4), (None, None, 5), (None, "", 6)], "doc_id long, text string, fp int")
+    assert rows(simhash.one_of_each(docs), "doc_id", "fp") in (
+        [(2, 2), (9, 3), (None, 5)], [(2, 2), (9, 3), (None, 6)])
+
+
+def test_components_of_paths_stars_and_nothing(spark, rows):
+    edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
+    found = dict(rows(graph.components(spark.createDataFrame(edges, "u long, v long")), "node", "component"))
+    assert found == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 160)}, 200: 200, 201: 200}
+    assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+# --- personal data ----------------------------------------------------------
+
+@pytest.mark.parametrize("text,expected", [
+    ("write to bob [at] example (dot) com now", ["email:9:35"]),
+    ("bоb@ехample.com", ["email:0:15"]),
+    ("bob at example dot com", ["email:0:22"]),
+    ("b​ob@exam​ple.com a@b.c", ["email:0:17", "email:18:23"]),
+    ("call plus one two three four five six seven eight nine zero one", ["phone:5:63"]),
+    ("ruf plus null eins zwei drei vier fünf sechs sieben acht neun an", ["phone:4:61"]),
+    ("１９２.１６８.０.１ x", ["ip:0:11"]),
+    ("ip one nine two dot one six eight dot one dot one", ["ip:3:49"]),
+    ("card four one one one one one one one one one one one one one one one", ["card:5:69"]),
+    ("look at this.Then go at noon. Dot it, one two three.", []),
+    ("A price of 12.50 at the shop.", []),
+    ("", []), (None, []),
+])
+def test_disguises_map_back_to_the_source(text, expected):
+    plain, spans = pii.find_spans(text)
+    assert pii.written(spans).split(",") == expected if expected else not spans
+    assert set(plain) <= set(spans)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="a1@.-+ ()[]9é四о", max_size=60))
+def test_plain_spans_equal_the_patterns_and_stay(text):
+    plain, spans = pii.find_spans(text)
+    assert plain == brute.personal(text) and set(plain) <= set(spans)
+    for start, kind, end in spans:
+        assert 0 <= start < end <= len(text)
+    for kind in range(4):
+        own = [s for s in spans if s[1] == kind]
+        assert all(a[2] <= b[0] for a, b in zip(own, own[1:]))
+
+
+@pytest.mark.parametrize("unit", ["a", "1", "1.", "+1", "@", "+1 ", "one ", " at a", "[at", "a.b@", "a@b."])
+def test_long_junk_stays_linear(unit):
+    began = time.process_time()
+    pii.find_spans(unit * (400_000 // len(unit)))
+    assert time.process_time() - began < 20
+
+
+def test_masking(spark, rows):
+    docs = spark.createDataFrame([(1, "to a@b.org and c [at] d.com", "x"), (2, None, "y"), (3, "none", None)],
+                                 "id int, text string, spans string")
+    assert rows(pii.mask(docs)) == [(1, "to <EMAIL> and <EMAIL>", "x"), (2, None, "y"), (3, "none", None)]
+
+
+# --- packing and tokens -----------------------------------------------------
+
+def test_packer_takes_the_tightest_bin_and_closes_the_fullest():
+    packer = packing.Packer(10, 2)
+    assert packer.add(6, "a") is None and packer.add(7, "b") is None
+    assert packer.add(3, "c") == ["b", "c"]  # fits exactly where least is free
+    assert packer.add(8, "d") is None and packer.open == 2
+    assert packer.add(5, "e") == ["d"]  # nothing fits, the fullest closes
+    assert packer.add(10, "f") == ["f"]
+    assert sorted(map(tuple, packer.rest())) == [("a",), ("e",)]
+
+
+def test_packing_over_many_partitions_loses_nothing_and_wastes_little(spark):
+    rnd = random.Random(8)
+    docs = [(i, "word " * rnd.randrange(1, 1500)) for i in range(300)]
+    packed = packing.pack(spark.createDataFrame(docs, "doc_id int, text string").repartition(9)).toPandas()
+    assert sorted(packed.id[packed.piece == 0]) == list(range(300))
+    filled = packed.groupby("sequence_id").length.sum()
+    assert filled.max() <= 2048 and len(filled) <= 1.1 * filled.sum() / 2048 + 1
+    for _, group in packed.sort_values("offset").groupby("sequence_id"):
+        assert list(group.offset) == [0, *np.cumsum(list(group.length))[:-1]]
+
+
+_ENCODER = tokens.Encoder()
+_TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+_TOKENIZER.encode_special_tokens = True
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.text(max_size=80), st.text(alphabet=" \n\tab'sé1.日 ", max_size=60)))
+def test_ids_equal_the_tokenizer_file(text):
+    ids = _TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert _ENCODER.encode(text) == np.array(ids, "<u4").tobytes()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab \n日é", max_size=50), st.sampled_from(tokens.RULES), st.data())
+def test_tokens_are_owned_by_rule(text, rule, data):
+    cuts = sorted(data.draw(st.sets(st.integers(1, max(1, len(text) - 1)), max_size=4))) if len(text) > 1 else []
+    bounds = np.array([0, *cuts, len(text)], np.int64)
+    counts, crossing = tokens.section_counts(_ENCODER, text, _ENCODER.encode(text), bounds, rule)
+    first, stop = _ENCODER.spans(text, _ENCODER.encode(text))
+    expected, over = np.zeros(len(bounds) - 1, int), 0
+    for a, b in zip(first, stop):
+        inside = [min(b, y) - max(a, x) for x, y in zip(bounds, bounds[1:])]
+        touched = [i for i, n in enumerate(inside) if n > 0]
+        expected[{"first": touched[0], "last": touched[-1], "most": int(np.argmax(inside))}[rule]] += 1
+        over += len(touched) > 1
+    assert list(counts) == list(expected) and crossing.sum() == over
+
+
+# --- archives ---------------------------------------------------------------
+
+def test_broken_archives_are_reported(spark, tmp_path):
+    body = "é" * 30_000
+    digest = brute.digest32(body.encode())
+    parts = list(warc.records(1, "u", body.encode(), digest, None, 1 << 14))
+    assert len(parts) > 2
+    whole = list(warc.records(2, None, b"<p>", brute.digest32(b"<p>"), None, 1 << 14))
+    wrong = list(warc.records(3, None, b"<p>", brute.digest32(b"<q>"), None, 1 << 14))
+    lost = list(warc.records(4, "u", body.encode(), digest, None, 1 << 14))[:-1]
+    alone = list(warc.records(5, None, b"x", brute.digest32(b"x"), 99, 1 << 14))
+    framing = [whole[0].replace(b"3\r\n<p>", b"9\r\n<p>").replace(b"x-page:2", b"x-page:6")]
+    order = [parts[2], *whole, parts[0], *wrong, *lost, *alone, *framing, *parts[1:2], *parts[3:]]
+    half = len(order) // 2
+    for i, some in enumerate((order[:half], order[half:])):
+        (tmp_path / f"{i}.warc").write_bytes(b"".join(r + b"\r\n\r\n" for r in some))
+    found = {int(r.page): (r.payload_bytes, r.error, r.payload) for r in warc.read_archives(spark, str(tmp_path))
+             .withColumn("page", warc.page_of(F.col("record_id"))).collect()}
+    assert found[1] == (len(body.encode()), None, body.encode()) and found[2][:2] == (3, None)
+    assert found[3][:2] == (None, "payload digest wrong")
+    assert found[4][:2] == (None, "segments missing or total length wrong")
+    assert found[5][:2] == (None, "referred record missing")
+    assert found[6][0] is None and found[6][1].startswith("broken framing")
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.binary(max_size=300), st.integers(1, 50))
+def test_chunks_round_trip(payload, size):
+    assert warc.unchunked(warc.chunked(payload, size)) == payload
+
+
+def test_repeated_pages_keep_their_rows(spark, rows, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "é" * 30_000)] * 3 + [(2, "v", "x"), (None, "w", "x")],
+                                  "page_id long, url string, html string")
+    warc.write_archives(warc.planned(pages), str(tmp_path / "w"), per_file=2)
+    found = warc.read_archives(spark, str(tmp_path / "w"), with_payload=False)
+    assert rows(found.select(warc.page_of(F.col("record_id")), "type", "payload_bytes", "error")) == sorted(
+        [("1", "response", 60_000, None)] * 3 + [("2", "response", 1, None), (None, "revisit", 1, None)], key=repr)
+
+
+# --- shards, quality, licenses, leaks ---------------------------------------
+
+def test_weighted_shards_get_their_share_and_growth_moves_only_into_new_ones(spark):
+    keys = spark.range(20_000)
+    old, new = [1.0, 2.0, 0.0, 1.0], [1.0, 2.0, 0.0, 1.0, 1.0]
+    got = keys.select(sharding.shard_of(F.col("id"), old).alias("a"), sharding.shard_of(F.col("id"), new).alias("b"))
+    table = Counter((r.a, r.b) for r in got.collect())
+    share = Counter(a for (a, _), n in table.items() for _ in range(n))
+    assert share[2] == 0 and abs(share[1] / 20_000 - 0.5) < 0.02 and abs(share[0] / 20_000 - 0.25) < 0.02
+    assert all(a == b or b == 4 for a, b in table)
+    moved = sum(n for (a, b), n in table.items() if a != b)
+    assert abs(moved / 20_000 - 0.2) < 0.02
+    with pytest.raises(ValueError):
+        sharding.shard_of(F.col("id"), [0.0])
+
+
+def test_written_shards_hold_every_row(spark, rows, tmp_path):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    sharding.write_shards(docs, [1.0] * 4, str(tmp_path / "s"))
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert rows(back.drop("shard")) == rows(docs)
+
+
+def test_fences_follow_the_group_and_small_groups_their_language(spark):
+    plain = "words of common length fill these lines " * 10
+    data = [(i, plain + f" {' '.join(str(i * 7 + j) for j in range(30))}", "en", "big") for i in range(300)]
+    odd = " ".join(f"$$$ token{i}" for i in range(80))
+    data += [(1000, odd, "en", "big"), (1001, odd, "en", "tiny")]
+    data += [(2000 + i, odd.replace("token", f"t{i}x"), "xx", "shell") for i in range(250)]
+    docs = spark.createDataFrame(data, "doc_id int, text string, lang string, source string")
+    measures = quality.measured(docs)
+    kept = {r.id for r in quality.judged(measures, quality.fences(measures)).filter("kept").select(
+        F.col("row.doc_id").alias("id")).collect()}
+    assert 1000 not in kept and 1001 not in kept  # outside their language's fences
+    assert {2000, 2100} <= kept  # ordinary in their own group
+    assert {r.doc_id for r in quality.keep_good(docs).collect()} == kept
+
+
+def test_license_scores_equal_a_plain_version(spark):
+    files = [("a/LICENSE", "Released under the MIT License."), ("a/b/x.py", "print(1)\nno license here"),
+             ("a/b/c/y.py", "# Licensed under the Apache License, Version 2.0.\ncode"), ("z.py", "code"),
+             ("a/b/c/d/COPYING", "All rights\nreserved."), ("a/b/c/d/e.py", None), (None, "All rights reserved."),
+             ("a/q.py", "the and of work under version")] + [(f"n/{i}.txt", f"filler words {i} of the work") for i in range(30)]
+    rows = [(i, p, t) for i, (p, t) in enumerate(files)]
+    df = spark.createDataFrame(rows, "n int, path string, text string")
+    found = {r.row.n: (r.own_license, r.own_score, r.license, r.via) for r in licenses.scan(df).collect()}
+    assert len(found) == len(rows)
+
+    total = len(rows)
+    df_count = Counter(t for _, _, text in rows for t in set(brute.bench_words(text)))
+    vocabulary = {t for _, text in licenses.TEMPLATES for t in brute.bench_words(text)}
+
+    def vector(text):
+        return {t: n * (np.log((total + 1) / ((df_count[t] if t in vocabulary else 0) + 1)) + 1)
+                for t, n in Counter(brute.bench_words(text)).items()}
+
+    def cosine(a, b):
+        dot = sum(x * b.get(t, 0) for t, x in a.items())
+        return round(dot / np.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values())), 6)
+
+    for n, path, text in rows:
+        units = (text or "").split("\n")
+        if path and re.match(licenses.LICENSE_FILE, path.split("/")[-1]):
+            units.append(text or "")
+        best = min(((-cosine(vector(u), vector(t)), name) for u in units if brute.bench_words(u)
+                    for name, t in licenses.TEMPLATES), default=(0, None))
+        if -best[0] >= licenses.THRESHOLD:
+            assert found[n][0] == best[1] and abs(found[n][1] + best[0]) < 2e-6
+        else:
+            assert found[n][0] is None
+    assert [found[i][2:] for i in (0, 1, 2, 3)] == [("MIT", None), ("MIT", "a"), ("Apache-2.0", None), (None, None)]
+    assert found[5][2:] == ("proprietary", "a/b/c/d") and found[6][2] == "proprietary" and found[7][2:] == ("MIT", "a")
+
+
+def test_leaking_words_are_cut(spark):
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j k")], "item_id int, text string")
+    docs = spark.createDataFrame([(1, "x A b, c d e f g h i j k y x"), (2, "clean")], "doc_id int, text string")
+    found = decontaminate.find_leaks(docs, bench)
+    cut = {r.id: r.t for r in found.select(F.col("row.doc_id").alias("id"), decontaminate.cut_words(
+        F.col("words"), F.col("hit_at")).alias("t")).collect()}
+    assert cut == {1: "x y x", 2: "clean"}
+
+
+# --- pipeline ---------------------------------------------------------------
+
+def test_pipeline_equals_its_plain_version(spark):
+    docs = pd.read_parquet(f"{SMALL}/documents.parquet")
+    bench = pd.read_parquet(f"{SMALL}/benchmark.parquet")
+    good = engine(SMALL).execute(queries.SQL["op10_quality"]).fetchdf()
+    docs = docs[docs.doc_id.isin(good.doc_id[good.kept])].sort_values("doc_id")
+    roots = brute.components(list(docs.doc_id), [brute.simhash(t) for t in docs.text])
+    docs = docs[[k == r for k, r in zip(docs.doc_id, roots)]]
+    docs = docs[[not hit for _, hit, _ in brute.leaks(docs.text, list(zip(bench.item_id, bench.text)))]]
+    assert 50 < len(docs) < 200
+    packed = corpus_pipeline.run(spark, SMALL).toPandas().sort_values(["doc_id", "piece"])
+    ids = {k: b"".join(group.ids) for k, group in packed.groupby("doc_id")}
+    texts = {k: pii.masked(t, pii.find_spans(t)[1]) for k, t in zip(docs.doc_id, docs.text)}
+    assert ids == {k: tokens.Encoder().encode(t) + packing.END for k, t in texts.items()}
+    assert packed.groupby("sequence_id").length.sum().max() <= 2048
+
+
+def test_stages_keep_the_columns_and_handle_nothing(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for rows in (docs.limit(0), docs.limit(1)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, rows, SMALL).columns == docs.columns, name
+        assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), SMALL).count() == 0
+
+
+def test_workers_need_no_repository(tmp_path):
+    code = f"""
+import sys; sys.path.insert(0, {ROOT!r})
+from tidewatch.session import build_session
+from tidewatch.llm import queries
+spark = build_session("elsewhere", "local[2]", **{{"spark.ui.enabled": "false"}})
+print("ROWS", queries.op3_personal_data(spark, {SMALL!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS 200" in out.stdout, out.stderr[-2000:]
