@@ -13,6 +13,17 @@ from pyspark.sql import functions as F
 from tidewatch.operators.reports import resolve_ids
 
 
+def _verdict_columns() -> list[Column]:
+    """Columns of the verdict table that a new row leaves open."""
+    return [F.lit(None).cast("string").alias("threat_label"),
+            F.lit(None).cast("decimal(5, 2)").alias("confidence_score")]
+
+
+def _first_scan(key: Column, now: Column) -> list[Column]:
+    return [key.alias("analysis_result_id"), now.cast("timestamp_ntz").alias("last_scan"),
+            F.lit(1).alias("scan_count")]
+
+
 def _stamp(now: Column) -> Column:
     return F.date_format(now, "yyyyMMddHHmmss")
 
@@ -27,10 +38,9 @@ def register_clean_scans(clean: DataFrame, types: DataFrame, now: Column) -> tup
         "-", F.col("dns_query_id").cast("string"), "provider", _stamp(now)).alias("id"))
     nothing = F.lit(None).cast("string")
     verdicts = keyed.select("id", F.lit(1).alias("threat_score"), nothing.alias("verdict_summary_en"),
-                            nothing.alias("analysis_pl"))
+                            nothing.alias("analysis_pl"), *_verdict_columns())
     typed = resolve_ids(keyed.withColumn("type_name", F.lit("IP")), types, "type_name", "type_id", "left")
-    indicators = typed.select("id", "dns_query_id", "type_id", F.col("id").alias("analysis_result_id"),
-                              now.cast("timestamp_ntz").alias("last_scan"))
+    indicators = typed.select("id", "dns_query_id", "type_id", *_first_scan(F.col("id"), now))
     return verdicts, indicators
 
 
@@ -40,14 +50,14 @@ def register_verdicts(verdicts: DataFrame, details: DataFrame, types: DataFrame,
     key = F.concat_ws("-", F.col("dns_query_id").cast("string"), F.lit("ai"), _stamp(now))
     good = verdicts.filter("error IS NULL").withColumn("id", key)
     results = good.select("id", F.col("score").alias("threat_score"),
-                          F.col("verdict_en").alias("verdict_summary_en"), "analysis_pl")
+                          F.col("verdict_en").alias("verdict_summary_en"), "analysis_pl", *_verdict_columns())
     typed = resolve_ids(good.select("id", "dns_query_id").withColumn("type_name", F.lit("IP")),
                         types, "type_name", "type_id", "left")
-    indicators = typed.select("id", "dns_query_id", "type_id", F.col("id").alias("analysis_result_id"),
-                              now.cast("timestamp_ntz").alias("last_scan"))
+    indicators = typed.select("id", "dns_query_id", "type_id", *_first_scan(F.col("id"), now))
     links = resolve_ids(details, providers, "source_provider", "source_id").select(
         F.concat_ws("-", key, F.col("source_id").cast("string")).alias("id"),
-        key.alias("indicator_id"), "source_id", F.col("doc_id").alias("mongo_ref_id"))
+        key.alias("indicator_id"), "source_id", F.col("doc_id").alias("mongo_ref_id"),
+        F.lit(None).cast("string").alias("raw_response_hash"))
     return results, indicators, links
 
 

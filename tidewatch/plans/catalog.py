@@ -358,7 +358,7 @@ def streamed_log(d: Data) -> DataFrame:
     d.log_lines.write.text(inbox)
     jobs.stream_dns(d.spark, inbox, out, scratch_path(d.spark, "state"), ntz(DNS_NOW),
                     availableNow=True).awaitTermination()
-    return logs.read_dns(d.spark, out).drop("batch_id")
+    return logs.read_dns(d.spark, out).drop("batch_id", "id")
 
 
 # --- raw reports and enrichment --------------------------------------------
@@ -493,6 +493,30 @@ def registered_links(d: Data) -> DataFrame:
     return _registered(d, 2)
 
 
+@query
+def alerts_of_ingested_log(d: Data) -> DataFrame:
+    """The whole chain: log lines, queue, verdict texts, registration, latest report, alert.
+
+    The model's answer is replaced by a text that is made from the queue row.
+    """
+    now = ntz(DNS_NOW)
+    dns = logs.parse_dns_lines(logs.identified(d.log_lines, F.lit("log")), now).dropDuplicates(["id"])
+    scanned = d.threat_indicators.withColumn("dns_query_id", F.col("dns_query_id").cast("string"))
+    queue = reports.pending_analysis(dns, scanned)
+    score = (1 + F.length("observable_ip") % 5).cast("string")
+    answer = F.concat(F.lit('{"threat_score": '), score, F.lit(', "verdict_en": "'), "fqdn",
+                      F.lit('", "active_providers": []}'))
+    verdicts = enrich.parse_verdicts(queue.select("dns_query_id", "fqdn", "observable_ip", answer.alias("output")))
+    results, indicators, _ = registry.register_verdicts(
+        verdicts, enrich.provider_details(verdicts, d.raw_reports), d.types, d.providers, now)
+    latest = reports.latest_threat_reports(indicators, results)
+    alerts = reports.threat_alerts(indicators, dns, results, d.levels)
+    newest = latest.select(F.col("id").alias("indicator_id"), "dns_query_id")
+    return alerts.join(newest, "indicator_id").select(
+        "dns_query_id", "fqdn", "observable_ip", "threat_score", F.col("threat_label").alias("level"), "verdict_en",
+        "last_scan", "detection_time")
+
+
 @query
 def unique_indicators(d: Data) -> DataFrame:
     rows = d.threat_indicators.unionAll(d.threat_indicators.withColumn("scan_count", F.col("scan_count") + 1))

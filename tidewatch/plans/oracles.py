@@ -410,24 +410,37 @@ SQL: dict[str, str] = {
                 json_extract_string(doc, '$.scoring_rationale') AS scoring_rationale
               FROM opened WHERE active IS NOT NULL) a WHERE bad OR score = 3""",
     "clean_scan_indicators": f"""
-        SELECT k AS id, dns_query_id, 2 AS type_id, k AS analysis_result_id, timestamp '{c.DNS_NOW}' AS last_scan
+        SELECT k AS id, dns_query_id, 2 AS type_id, k AS analysis_result_id, timestamp '{c.DNS_NOW}' AS last_scan,
+               1 AS scan_count
         FROM (SELECT dns_query_id, concat(dns_query_id, '-', provider, '-{STAMP}') AS k FROM clean_pairs)""",
     "clean_scan_verdicts": f"""
         SELECT concat(dns_query_id, '-', provider, '-{STAMP}') AS id, 1 AS threat_score,
-               cast(NULL AS varchar) AS verdict_summary_en, cast(NULL AS varchar) AS analysis_pl FROM clean_pairs""",
+               cast(NULL AS varchar) AS verdict_summary_en, cast(NULL AS varchar) AS analysis_pl,
+               cast(NULL AS varchar) AS threat_label, cast(NULL AS double) AS confidence_score FROM clean_pairs""",
     "registered_verdicts": f"""
         SELECT concat(dns_query_id, '-ai-{STAMP}') AS id, cast(json_extract(doc, '$.threat_score') AS int)
                  AS threat_score,
                json_extract_string(doc, '$.verdict_en') AS verdict_summary_en,
-               json_extract_string(doc, '$.analysis_pl') AS analysis_pl FROM opened WHERE active IS NOT NULL""",
+               json_extract_string(doc, '$.analysis_pl') AS analysis_pl,
+               cast(NULL AS varchar) AS threat_label, cast(NULL AS double) AS confidence_score FROM opened WHERE active IS NOT NULL""",
     "registered_indicators": f"""
         SELECT concat(dns_query_id, '-ai-{STAMP}') AS id, dns_query_id, 2 AS type_id,
-               concat(dns_query_id, '-ai-{STAMP}') AS analysis_result_id, timestamp '{c.DNS_NOW}' AS last_scan
+               concat(dns_query_id, '-ai-{STAMP}') AS analysis_result_id, timestamp '{c.DNS_NOW}' AS last_scan,
+               1 AS scan_count
         FROM opened WHERE active IS NOT NULL""",
     "registered_links": f"""
         SELECT concat(r.dns_query_id, '-ai-{STAMP}-', p.id) AS id, concat(r.dns_query_id, '-ai-{STAMP}')
-                 AS indicator_id, p.id AS source_id, r.doc_id AS mongo_ref_id
+                 AS indicator_id, p.id AS source_id, r.doc_id AS mongo_ref_id, cast(NULL AS varchar) AS raw_response_hash
         FROM detail_rows r JOIN providers p ON p.name = r.source_provider""",
+    "alerts_of_ingested_log": f"""
+        SELECT sha256('log' || chr(10) || 'Jan  1 00:00:00 dnsmasq[77]: reply ' || domain || ' is ' || response_ip)
+                 AS dns_query_id,
+               domain AS fqdn, response_ip AS observable_ip, n AS threat_score, l.description AS level,
+               domain AS verdict_en, timestamp '{c.DNS_NOW}' AS last_scan, timestamp '{c.DNS_NOW}' AS detection_time
+        FROM (SELECT DISTINCT domain, response_ip, cast(1 + length(response_ip) % 5 AS int) AS n FROM parsed_lines
+              WHERE query_type = 'reply' AND record_type = 'A'
+                AND list_aggregate([cast(x AS int) <= 255 FOR x IN string_split(response_ip, '.')], 'bool_and'))
+        JOIN levels l ON l.score = n WHERE l.is_malicious_flag""",
     "unique_indicators": """
         SELECT * FROM (SELECT * FROM threat_indicators
                        UNION ALL SELECT * REPLACE (scan_count + 1 AS scan_count) FROM threat_indicators)

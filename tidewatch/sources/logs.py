@@ -16,20 +16,31 @@ from tidewatch.sources.tables import with_text_month
 LINE_PATTERN = r"(query|reply)(?:\[([A-Z0-9]+)\])?\s+(\S+)\s+(?:is|from)\s+(\S+)"
 
 
+def identified(lines: DataFrame, source: Column) -> DataFrame:
+    """Adds the key of the DNS row: a SHA-256 of the line and where it came from.
+
+    It is the same on every replay of a file and needs no counter. Equal lines of one
+    file are one event, so they share it.
+    """
+    return lines.withColumn("id", F.sha2(F.concat_ws("\n", source, "value"), 256))
+
+
 def read_dns_log(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Log lines as `value`. The log must be rotated into the folder `path`."""
-    return (spark.readStream if streaming else spark.read).text(path)
+    """Log lines as `value` with their `id`. The log must be rotated into the folder `path`."""
+    lines = (spark.readStream if streaming else spark.read).text(path)
+    return identified(lines, F.col("_metadata.file_name"))
 
 
 def parse_dns_lines(lines: DataFrame, now: Column | None = None) -> DataFrame:
-    """Typed DNS rows from `value`; lines of any other form are dropped.
+    """Typed DNS rows from `value`, with `id` if the lines have one; lines of any other form are dropped.
 
     The pattern runs once for the whole match, which holds exactly four
     blank-separated words; the fields are cut from those.
     """
     now = F.current_timestamp() if now is None else now
     matched = evaluate_once(lines, F.regexp_extract("value", LINE_PATTERN, 0), "match")
-    found = matched.filter("match <> ''").select(F.split("match", r"\s+").alias("w"))
+    kept = [c for c in ("id",) if c in lines.columns]
+    found = matched.filter("match <> ''").select(*kept, F.split("match", r"\s+").alias("w"))
     head, value = F.col("w")[0], F.col("w")[3]
     action = F.substring_index(head, "[", 1)
     named = F.when(head.contains("["), F.rtrim(F.substring_index(head, "[", -1), F.lit("]")))
@@ -39,6 +50,7 @@ def parse_dns_lines(lines: DataFrame, now: Column | None = None) -> DataFrame:
         .when(value.contains(":"), "AAAA")
         .otherwise("OTHER"))
     return found.select(
+        *kept,
         now.cast("timestamp_ntz").alias("timestamp"),
         action.alias("query_type"),
         F.coalesce(named, inferred).alias("record_type"),
