@@ -92,3 +92,17 @@ def test_document_holds_no_address(spark):
     row = similar.verdict_documents(ar, ti, dns).first()
     assert row.document == "d.com | lab | score 4 | Owner | text | 2024-01-01 00:00:00"
     assert row.observable_ip == "1.2.3.4"
+
+
+def test_vectors_without_direction_have_no_result(spark, rows):
+    kind = "vector array<double>"
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0, None])], f"query_id int, {kind}")
+    corpus = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, 0.0]), (9, None)], f"verdict_id int, {kind}")
+    assert rows(similar.similar_verdicts(queries, corpus), "query_id", "verdict_id", "similarity") == [(1, 7, 1.0)]
+
+
+def test_hashes_seen_at_one_time_do_not_depend_on_order(spark):
+    master = spark.createDataFrame([("f", "b")], "path string, hash string")
+    for order in ([("f", "a", 1), ("f", "b", 1)], [("f", "b", 1), ("f", "a", 1)]):
+        current = spark.createDataFrame(order, "path string, hash string, seen_at int")
+        assert similar.hash_mismatches(current, master).count() == 0

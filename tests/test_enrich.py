@@ -125,7 +125,7 @@ def test_keys_are_stable_and_shared(spark):
     results, indicators, links = ([tuple(r) for r in df.collect()] for df in run[0])
     assert results == [tuple(r) for r in run[1][0].collect()]
     assert results[0][0] == indicators[0][0] == indicators[0][3] == links[0][1] == "7-ai-20260102030405"
-    assert [link[2:] for link in links] == [(1, "doc")]
+    assert [link[2:] for link in links] == [(1, "doc", None)]
 
 
 def test_unique_and_orphans(spark, rows):
@@ -141,3 +141,13 @@ def test_remap(spark):
     df = spark.range(0, 12).select(F.col("id").cast("int").alias("old"), F.col("id").cast("int").alias("threat_score"))
     new = {r.old: r.threat_score for r in registry.remap_scores(df).collect()}
     assert new == {0: None, 1: 1, 2: 1, 3: 2, 4: 2, 5: 3, 6: 4, 7: 4, 8: 5, 9: 5, 10: 5, 11: None}
+
+
+def test_providers_named_in_a_text_are_accepted(spark, rows):
+    texts = ['{"threat_score": 3, "active_providers": "virustotal, threatfox"}',
+             '{"threat_score": 3, "active_providers": ""}', '{"threat_score": 3, "active_providers": {"a": 1}}',
+             '{"threat_score": 3, "active_providers": ["urlhaus"]}', '{"threat_score": 3, "active_providers": null}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, output string")
+    assert rows(enrich.parse_verdicts(df), "n", "active_providers", "error") == [
+        (0, ["virustotal", "threatfox"], None), (1, [], None), (2, None, "Parsing failed"), (3, ["urlhaus"], None),
+        (4, None, "Parsing failed")]

@@ -181,7 +181,7 @@ def parse_verdicts(df: DataFrame, text: str = "output") -> DataFrame:
     """Verdict fields from model output; `error` is set where the text is not a verdict.
 
     A verdict is one JSON object, and nothing else, with a list of active
-    providers. Rows in error keep the text as it came in `raw_received`. The JSON
+    providers, or a text that names them. Rows in error keep the text as it came in `raw_received`. The JSON
     parser stops after the first value, so the text is parsed as the first entry
     of an array whose second one must be the end mark.
     """
@@ -193,7 +193,12 @@ def parse_verdicts(df: DataFrame, text: str = "output") -> DataFrame:
               "active_providers": ("active_providers", "array<string>")}
     opened = parsed.withColumns({
         **{name: F.try_variant_get("_v", f"$[0].{key}", kind) for name, (key, kind) in fields.items()},
-        "_end": F.try_variant_get("_v", "$[1]", "string")}).drop("_v")
+        "_end": F.try_variant_get("_v", "$[1]", "string"),
+        "_listed": F.try_variant_get("_v", "$[0].active_providers", "string")}).drop("_v")
+    # providers named in one text instead of a list; an object is neither
+    named = F.filter(F.array(*map(F.lit, PROVIDER_NAMES)), lambda key: F.contains(F.col("_listed"), key))
+    as_text = F.when(~F.col("_listed").rlike(r"^[\[{]"), named)
+    opened = opened.withColumn("active_providers", F.coalesce("active_providers", as_text)).drop("_listed")
     good = F.col("active_providers").isNotNull() & F.col("_end").eqNullSafe(F.lit(END_MARK))
     checked = opened.withColumn("error", F.when(~good, "Parsing failed")).drop("_end")
     return checked.withColumns({
