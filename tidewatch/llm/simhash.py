@@ -85,16 +85,16 @@ def pivots(n: int = PIVOTS) -> list[int]:
 
 
 def distance_table(fps: DataFrame, n: int = PIVOTS) -> DataFrame:
-    """Adds the coordinates p0, p1, …: the number of bits in which `fp` differs from each pivot."""
-    return fps.select("*", *(F.bit_count(F.col("fp").bitwiseXOR(F.lit(p).cast("bigint"))).cast("tinyint").alias(f"p{i}")
-                             for i, p in enumerate(pivots(n))))
+    """Adds the coordinates `p`: the number of bits in which `fp` differs from each pivot."""
+    distances = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(p).cast("bigint"))).cast("tinyint") for p in pivots(n)]
+    return fps.withColumn("p", F.array(*distances))
 
 
 def _near(a: str, b: str, n: int, most: int) -> Column:
     """Coordinates first, then the bits themselves."""
     near = F.lit(True)
     for i in range(n):
-        near = near & (F.abs(F.col(f"{a}.p{i}").cast("int") - F.col(f"{b}.p{i}").cast("int")) <= most)
+        near = near & (F.abs(F.get(f"{a}.p", F.lit(i)).cast("int") - F.get(f"{b}.p", F.lit(i)).cast("int")) <= most)
     return near & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= most)
 
 
@@ -117,14 +117,15 @@ def links(fps: DataFrame, most: int = MAX_BITS, n: int = PIVOTS) -> DataFrame:
     """`node`, `component` over distinct fingerprints, for those that have a partner."""
     if most >= len(BLOCKS) - 1:
         raise ValueError("the blocks find at most three differing bits")
-    table = stored(distance_table(fps.select("fp").distinct(), n), "pivot-table")
-    coordinates = [f"p{i}" for i in range(n)]
-    placed = table.select(F.struct("fp", *coordinates).alias("x"), F.explode(F.array(*_bucket_keys())).alias("k"))
-    placed = placed.select("k.t", "k.bits", "x")
-    shared = placed.groupBy("t", "bits").agg(
-        F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    placed = fps.select("fp").distinct().select("fp", F.explode(F.array(*_bucket_keys())).alias("k"))
+    placed = stored(placed.select("k.t", "k.bits", "fp"), "placed")
+    shared = placed.groupBy("t", "bits").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     shared = stored(shared, "buckets")
-    members = stored(spread_join(placed, shared, ["t", "bits"]), "members")
+    # only fingerprints that share a bucket need coordinates
+    members = distance_table(spread_join(placed, shared, ["t", "bits"]), n)
+    members = stored(members.select("t", "bits", F.struct("fp", "p").alias("x")), "pivot-table")
+    ends = members.groupBy("t", "bits").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    members = stored(spread_join(members, ends, ["t", "bits"]), "members")
     stars = members.filter((F.col("x.fp") != F.col("low.fp")) & _near("x", "low", n, most)).select(
         F.col("x.fp").alias("u"), F.col("low.fp").alias("v"))
     stars = stars.unionAll(
