@@ -151,3 +151,14 @@ def test_providers_named_in_a_text_are_accepted(spark, rows):
     assert rows(enrich.parse_verdicts(df), "n", "active_providers", "error") == [
         (0, ["virustotal", "threatfox"], None), (1, [], None), (2, None, "Parsing failed"), (3, ["urlhaus"], None),
         (4, None, "Parsing failed")]
+
+
+def test_context_of_the_queue_equals_the_wide_form(spark, rows):
+    from tests.conftest import SMALL
+    from tidewatch.plans.catalog import CONTEXT_PROVIDERS, Data
+    from tidewatch.sources import raw_reports
+    data = Data(spark, SMALL)
+    queue = data.pending().drop("first_seen", "query_count")
+    wide = enrich.merge_context(queue, raw_reports.latest_by_provider(data.raw_reports, CONTEXT_PROVIDERS), data.levels)
+    lean = enrich.context_of_queue(queue, data.raw_reports, data.levels, CONTEXT_PROVIDERS)
+    assert rows(lean, *wide.columns) == rows(wide) and wide.count() > 50

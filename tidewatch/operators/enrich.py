@@ -11,7 +11,7 @@ from tidewatch.functions.shaping import evaluate_once, spread_join
 from tidewatch.functions.styles import pick_severity
 from tidewatch.functions.text import strip_fences
 from tidewatch.operators.filters import needs_alert, threat_scale
-from tidewatch.sources.raw_reports import latest_raw
+from tidewatch.sources.raw_reports import latest_raw, newest_payloads
 
 # Owners that count as trusted infrastructure.
 BIG_PLAYERS = ["AWS", "Amazon", "Cloudflare", "Google", "Microsoft", "GitHub"]
@@ -119,6 +119,31 @@ def merge_context(pending: DataFrame, reports: DataFrame, levels: DataFrame,
         F.col("resource").alias("fqdn"), "tf_raw", "tf_doc_id", "uh_raw", "uh_doc_id")
     by_name = reduce_urlhaus(reduce_threatfox(names, "tf_raw"), "uh_raw")
     merged = spread_join(spread_join(pending, by_ip, ["observable_ip"], "left"), by_name, ["fqdn"], "left")
+    return _with_defaults(merged, levels)
+
+
+def context_of_queue(queue: DataFrame, raw: DataFrame, levels: DataFrame, providers: dict[str, str],
+                     big_players: list[str] | None = None) -> DataFrame:
+    """The same context, read from the archive for the queue's own addresses and domains.
+
+    `queue` should be a stored table, as it is read once for each provider. Each
+    provider's folder is pruned, cut down to the queue and reduced before its facts
+    are joined; `providers` names the providers behind vt, tf and uh.
+    """
+    def found(prefix: str, key: str) -> DataFrame:
+        wanted = queue.select(F.col(key).alias("resource")).distinct()
+        return newest_payloads(raw, providers[prefix], wanted).select(
+            F.col("resource").alias(key), F.col("raw_data").alias(f"{prefix}_raw"),
+            F.col("doc_id").alias(f"{prefix}_doc_id"))
+
+    merged = spread_join(queue, reduce_virustotal(found("vt", "observable_ip"), "vt_raw", big_players),
+                         ["observable_ip"], "left")
+    merged = spread_join(merged, reduce_threatfox(found("tf", "fqdn"), "tf_raw"), ["fqdn"], "left")
+    return _with_defaults(spread_join(merged, reduce_urlhaus(found("uh", "fqdn"), "uh_raw"), ["fqdn"], "left"), levels)
+
+
+def _with_defaults(merged: DataFrame, levels: DataFrame) -> DataFrame:
+    """What a missing document means, the primary hit and the policy text."""
     absent = {f"{p}_no_data": F.coalesce(f"{p}_no_data", F.lit(True)) for p in ("vt", "tf", "uh")}
     unset = {c: _or_false(F.col(c)) for c in ("vt_is_big_player", "tf_active", "uh_active")}
     counts = {c: _or_zero(F.col(c)) for c in ("vt_malicious_count", "vt_suspicious_count")}

@@ -18,7 +18,7 @@ from tidewatch.functions.styles import pick_severity, threshold_color
 from tidewatch.functions.times import month_key, ntz
 from tidewatch.operators import bursts, enrich, filters, maintain, registry, reports, similar
 from tidewatch.plans import panels
-from tidewatch.session import scratch_path
+from tidewatch.session import scratch_path, stored
 from tidewatch.sources import lists, logs, raw_reports, tables
 from tidewatch.sources.fixtures import derive
 from tidewatch.streaming import jobs
@@ -72,8 +72,8 @@ class Data:
         return reports.pending_analysis(self.dns_queries, self.threat_indicators)
 
     def context(self) -> DataFrame:
-        found = raw_reports.latest_by_provider(self.raw_reports, CONTEXT_PROVIDERS)
-        merged = enrich.merge_context(self.pending().drop("first_seen", "query_count"), found, self.levels)
+        queue = stored(self.pending().drop("first_seen", "query_count"), "queue")
+        merged = enrich.context_of_queue(queue, self.raw_reports, self.levels, CONTEXT_PROVIDERS)
         # The candidate score comes from outside; here it is derived from the id.
         return merged.withColumn("primary_score", (1 + F.col("dns_query_id") % 5).cast("int"))
 

@@ -50,6 +50,19 @@ def latest_by_provider(df: DataFrame, providers: dict[str, str]) -> DataFrame:
         for p in providers for field, out in (("raw_data", "raw"), ("doc_id", "doc_id"))])
 
 
+def newest_payloads(df: DataFrame, provider: str, wanted: DataFrame) -> DataFrame:
+    """resource, doc_id and raw_data of one provider's newest document of each wanted resource.
+
+    `wanted` has distinct `resource`. The provider's folder is read without payloads,
+    cut down to the wanted resources and reduced to one document id each; payloads are
+    read in a second pass and, where the ids are few, stay out of any shuffle.
+    """
+    docs = raw_by_provider(df, provider)
+    newest = (docs.select("resource", "scan_date", "doc_id").join(wanted, "resource", "left_semi")
+              .groupBy("resource").agg(F.max(F.struct("scan_date", "doc_id"))["doc_id"].alias("doc_id")))
+    return docs.select("resource", "doc_id", "raw_data").join(newest, ["resource", "doc_id"])
+
+
 def dedupe_payloads(df: DataFrame) -> DataFrame:
     """One document per distinct payload: the oldest, then the lower doc_id."""
     cols = df.columns
