@@ -54,8 +54,9 @@ TEMPLATES = [
 
 def template_terms(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
     """`template` (its number), `license`, `term` and `tf`."""
-    rows = spark.createDataFrame(
-        [(i, name, text) for i, (name, text) in enumerate(templates)], "template int, license string, text string")
+    rows = spark.range(1).select(F.inline(F.array(*(
+        F.struct(F.lit(i).alias("template"), F.lit(name).alias("license"), F.lit(text).alias("text"))
+        for i, (name, text) in enumerate(templates)))))
     terms = rows.select("template", "license", F.explode(words_of(F.col("text"))).alias("term"))
     return terms.groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
 
