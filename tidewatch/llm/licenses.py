@@ -2,7 +2,7 @@
 
 Every line of a file, and every licence file as a whole, is compared with short texts of
 well-known licenses. Term weights come from document frequencies over all files, for
-the templates' terms; any other term weighs as much as one never seen. A unit can only
+every term of a template or of a unit that is scored. A unit can only
 reach the threshold if it holds one of a template's signature terms: the lightest terms
 are left out as long as their share of the template's length stays below the threshold
 (Cauchy-Schwarz), so this test loses nothing. Only units that pass are split into terms.
@@ -61,19 +61,20 @@ def template_terms(spark: SparkSession, templates: list[tuple[str, str]]) -> Dat
     return terms.groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
 
 
-def weighted_terms(files: DataFrame, terms: DataFrame, text: str) -> tuple[DataFrame, float]:
-    """Adds `idf` and `weight` to the template terms; also the idf of a term never seen.
+def frequencies(files: DataFrame, text: str) -> DataFrame:
+    """`term` and `df`, the number of files that hold it."""
+    words = F.array_distinct(words_of(F.col(text)))
+    return files.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
-    The driver holds the templates' vocabulary, which is fixed, and one count.
-    """
-    vocabulary = [r.term for r in terms.select("term").distinct().collect()]
-    words = F.array_intersect(words_of(F.col(text)), F.array(*map(F.lit, sorted(vocabulary))))
-    counted = files.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    total = files.count()
-    idf = F.log((F.lit(total) + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0
-    weighted = terms.join(counted, "term", "left").withColumn("idf", idf)
-    unseen = weighted.select((F.log(F.lit(total) + 1.0) + 1.0).alias("x")).first()
-    return weighted.withColumn("weight", F.col("tf") * F.col("idf")), unseen.x if unseen else 1.0
+
+def idf(total: int) -> Column:
+    return F.log((F.lit(total) + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0
+
+
+def weighted_terms(terms: DataFrame, counted: DataFrame, total: int) -> DataFrame:
+    """Adds `idf` and `weight` to the template terms."""
+    weighted = terms.join(counted, "term", "left").withColumn("idf", idf(total))
+    return weighted.withColumn("weight", F.col("tf") * F.col("idf"))
 
 
 def signature(weighted: DataFrame, threshold: float) -> list[str]:
@@ -97,8 +98,8 @@ def matched(files: DataFrame, key: str, text: str, whole: Column, threshold: flo
     """
     spark = files.sparkSession
     slim = files.select(F.col(key).alias("key"), F.col(text).alias("text"), whole.alias("whole"))
-    weights, unseen = weighted_terms(slim, template_terms(spark, templates or TEMPLATES), "text")
-    weights = stored(weights, "template-weights")
+    counted, total = stored(frequencies(slim, "text"), "document-frequencies"), slim.count()
+    weights = stored(weighted_terms(template_terms(spark, templates or TEMPLATES), counted, total), "template-weights")
     marks = signature(weights, threshold)
     body = F.coalesce(F.col("text"), F.lit(""))
     parts = F.split(body, "\n")
@@ -109,9 +110,10 @@ def matched(files: DataFrame, key: str, text: str, whole: Column, threshold: flo
     tf = units.select("key", "unit", F.explode("words").alias("term")).groupBy("key", "unit", "term").agg(
         F.count("*").alias("n"))
     tf = stored(tf, "unit-terms")
-    idf = weights.select("term", "idf").distinct()
-    lengths = tf.join(idf, "term", "left").groupBy("key", "unit").agg(
-        F.sqrt(F.sum(F.pow(F.col("n") * F.coalesce("idf", F.lit(unseen)), F.lit(2)))).alias("length"))
+    rarity = counted.join(tf.select("term").distinct(), "term", "left_semi").select("term", idf(total).alias("idf"))
+    rarity = stored(rarity, "unit-term-weights")
+    lengths = spread_join(tf, rarity, ["term"]).groupBy("key", "unit").agg(
+        F.sqrt(F.sum(F.pow(F.col("n") * F.col("idf"), F.lit(2)))).alias("length"))
     norms = weights.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     sided = weights.join(norms, "template").select(
         "template", "license", "term", (F.col("weight") * F.col("idf") / F.col("norm")).alias("share"))
