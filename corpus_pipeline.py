@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, packing, pii, quality, shingles
+from tidewatch.llm import decontaminate, packing, pii, quality, simhash
 from tidewatch.session import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of texts that share 0.8 of their five-word shingles."""
-    return shingles.one_of_each(docs).select(*COLUMNS)
+    """Keeps the document of the smallest id of each component of fingerprints at most 3 bits apart."""
+    return simhash.one_of_each(docs).select(*COLUMNS)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
