@@ -54,8 +54,9 @@ def _ips(text: str) -> Iterator[tuple[int, int]]:
     for run in _NUMBERS.finditer(text):
         if run[0].count(".") >= 3:
             for match in _IP.finditer(text, run.start(), run.end()):
-                # length first: int() of a very long run of digits is slow
-                if all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in match[0].split(".")):
+                # length first, without leading zeros: int() refuses very long runs of digits
+                parts = [part.lstrip("0") for part in match[0].split(".")]
+                if all(len(part) <= 3 and int(part or "0") <= 255 for part in parts):
                     yield match.span()
 
 

@@ -13,16 +13,18 @@ records. Reading goes through Spark's binary files for the same reason.
 
 Defined cases: NULL html is an empty payload; a NULL url leaves the header out; rows
 with equal id and payload give equal records, all of the same type; a NULL id is
-larger than any other. A record with missing segments, a wrong total length, broken
-framing or a wrong digest is returned with the fault in `error` and without payload.
+larger than any other. A record with missing segments (the first one included), a wrong
+total length, broken framing or a wrong digest is returned with the fault in `error` and
+without payload. What a truncated or damaged file still holds is read; the record at the
+break, or a row without record id if its header is incomplete, states the fault.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -147,34 +149,68 @@ _FIELDS = {
     "WARC-Segment-Total-Length": "total",
 }
 _NUMBERS = {"number", "total"}
-_PARSED = ", ".join(f"{c} {'bigint' if c in _NUMBERS else 'string'}" for c in _FIELDS.values()) + ", block binary"
+_PARSED = ", ".join(f"{c} {'bigint' if c in _NUMBERS else 'string'}" for c in _FIELDS.values())
+_PARSED += ", fault string, block binary"
 _LOWER = {name.lower(): column for name, column in _FIELDS.items()}
 
 
+def unzipped(content: bytes) -> tuple[bytes, str | None]:
+    """The bytes of all gzip members, as far as they can be read, and the fault that ended them."""
+    parts = []
+    while content[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(wbits=31)
+        try:
+            parts.append(member.decompress(content) + member.flush())
+        except zlib.error as fault:
+            return b"".join(parts), f"damaged gzip: {fault}"
+        if not member.eof:
+            return b"".join(parts), "truncated gzip"
+        content = member.unused_data
+    return b"".join(parts), None
+
+
 def parse(content: bytes) -> Iterator[dict]:
-    """The records of an archive, by their stated lengths; gzip is recognised."""
+    """The records of an archive, by their stated lengths; gzip is recognised.
+
+    A break in the file is the `fault` of the record in which it lies, or of a row of its own.
+    """
+    broken = None
     if content[:2] == b"\x1f\x8b":
-        content = gzip.decompress(content)
+        content, broken = unzipped(content)
     at = content.find(b"WARC/")
     while at >= 0:
-        stop = content.index(b"\r\n\r\n", at)
-        fields = {"length": 0}
+        stop = content.find(b"\r\n\r\n", at)
+        if stop < 0:
+            yield {"fault": broken or "truncated header", "block": b""}
+            return
+        fields, length = {}, 0
         for line in content[at:stop].split(b"\r\n")[1:]:
-            name, _, value = line.decode().partition(":")
-            column = _LOWER.get(name.strip().lower())
-            if column:
-                fields[column] = int(value) if column in _NUMBERS else value.strip()
-            elif name.strip().lower() == "content-length":
-                fields["length"] = int(value)
-        start = stop + 4
-        fields["block"] = content[start:start + fields.pop("length")]
-        yield fields
-        at = content.find(b"WARC/", start + len(fields["block"]))
+            name, _, value = line.decode(errors="replace").partition(":")
+            name, value = name.strip().lower(), value.strip()
+            column = _LOWER.get(name)
+            if column in _NUMBERS or name == "content-length":
+                # more digits than a length can have are a fault, too
+                if not re.fullmatch("[0-9]{1,18}", value):
+                    fields["fault"] = f"no number in {name}"
+                elif column:
+                    fields[column] = int(value)
+                else:
+                    length = int(value)
+            elif column:
+                fields[column] = value
+        block = content[stop + 4:stop + 4 + length]
+        if len(block) < length:
+            fields["fault"] = broken or "truncated block"
+            broken = None
+        yield {**fields, "block": block}
+        at = content.find(b"WARC/", stop + 4 + len(block))
+    if broken:
+        yield {"fault": broken, "block": b""}
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """A row per record of all archives under `path`."""
-    columns = [*_FIELDS.values(), "block"]
+    columns = [*_FIELDS.values(), "fault", "block"]
     types = [*(pa.int64() if c in _NUMBERS else pa.string() for c in columns[:-1]), pa.binary()]
 
     def batch_of(rows: list[dict]) -> pa.RecordBatch:
@@ -203,7 +239,7 @@ def reassembled(parsed: DataFrame) -> DataFrame:
     Records in one piece stay where they are. Equal records are counted before their
     segments meet, so that many copies of one page do not meet in one task.
     """
-    kept = ["record_id", "type", "url", "refers_to", "stated"]
+    kept = ["record_id", "type", "url", "refers_to", "stated", "fault"]
     whole = parsed.filter("number is null").select(*kept, F.array("block").alias("blocks"),
                                                    F.lit(True).alias("complete"))
     parts = parsed.filter("number is not null").withColumn("origin", F.coalesce("origin", "record_id"))
@@ -236,15 +272,17 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
 
     Revisit records have the size and digest of the record that they refer to.
     """
-    names = ["record_id", "type", "url", "refers_to", "stated"]
+    names = ["record_id", "type", "url", "refers_to", "stated", "fault"]
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, errors, payloads = [], [], [], []
-            for kind, stated, blocks, complete in zip(*(
-                    batch.column(c) for c in ("type", "stated", "blocks", "complete"))):
-                payload, error, digest = None, None, None
-                if not complete.as_py():
+            for kind, stated, fault, blocks, complete in zip(*(
+                    batch.column(c) for c in ("type", "stated", "fault", "blocks", "complete"))):
+                payload, error, digest = None, fault.as_py(), None
+                if error:
+                    pass
+                elif not complete.as_py():
                     error = "segments missing or total length wrong"
                 elif kind.as_py() != "revisit":
                     try:
@@ -252,8 +290,8 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
                         digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
                         if stated.as_py() and stated.as_py().rpartition(":")[2] != digest:
                             payload, error = None, "payload digest wrong"
-                    except ValueError as fault:
-                        error = f"broken framing: {fault}"
+                    except ValueError as wrong:
+                        error = f"broken framing: {wrong}"
                 sizes.append(None if payload is None else len(payload))
                 digests.append(None if payload is None else digest)
                 errors.append(error)
@@ -266,18 +304,18 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     schema = ", ".join(f"{c} string" for c in names)
     rows = reassembled(read_records(spark, path)).mapInArrow(
         decoded, f"{schema}, payload_bytes bigint, payload_digest string, error string, payload binary")
-    rows = rows.drop("stated")
+    rows = rows.drop("stated", "fault")
     if not with_payload:
         rows = stored(rows, "records")
     revisits = rows.filter("type = 'revisit'").withColumn("target", F.col("refers_to"))
     found = rows.filter("type = 'response' and error is null").groupBy(F.col("record_id").alias("target")).agg(
         F.max("payload_bytes").alias("bytes"), F.max("payload_digest").alias("digest"))
-    resolved = spread_join(revisits.drop("payload_bytes", "payload_digest", "error"), found, ["target"], "left")
+    resolved = spread_join(revisits.drop("payload_bytes", "payload_digest"), found, ["target"], "left")
     resolved = resolved.select(
         "record_id", "type", "url", "refers_to", F.col("bytes").alias("payload_bytes"),
         F.col("digest").alias("payload_digest"),
-        F.when(F.col("bytes").isNull(), "referred record missing").alias("error"), "payload")
-    return rows.filter("type <> 'revisit'").unionAll(resolved)
+        F.coalesce("error", F.when(F.col("bytes").isNull(), "referred record missing")).alias("error"), "payload")
+    return rows.filter("not type <=> 'revisit'").unionAll(resolved)
 
 
 def page_of(record_id: Column) -> Column:
