@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import os
 import random
 import re
@@ -134,6 +135,24 @@ def test_fingerprint_of_long_text_equals_its_slices(monkeypatch):
     assert whole == simhash.fingerprint(text) and whole % 2 ** 64 == brute.simhash(text)
 
 
+def test_large_buckets_of_unlinked_fingerprints_are_dealt_anew(spark):
+    draw = random.Random(11)
+    marks = {draw.getrandbits(38) << 26 | 5 for _ in range(3_000)}
+    marks |= {m ^ 1 << 30 ^ 1 << 45 ^ 1 << 63 for m in list(marks)[:200]} | {m ^ 1 << 40 for m in list(marks)[:50]}
+    signed = sorted(m - (1 << 64) if m >> 63 else m for m in marks)
+    fps = spark.createDataFrame([(m,) for m in signed], "fp long")
+    found = {r.node: r.component for r in simhash.links(fps).collect()}
+    expected = dict(zip(signed, brute.components(signed, [m & (1 << 64) - 1 for m in signed])))
+    groups = Counter(expected.values())
+    assert found == {m: c for m, c in expected.items() if groups[c] > 1} and len(found) > 400
+    bucket = fps.select(F.lit(0).alias("t"), F.col("fp").bitwiseAND(F.lit((1 << 26) - 1)).alias("bits"),
+                        F.struct("fp").alias("x"), F.col("fp").alias("label"))
+    assert bucket.select("bits").distinct().count() == 1
+    met = simhash._dealt(bucket, simhash._narrower(simhash._bucket_masks())).groupBy("t", "bits").count()
+    pairs = met.selectExpr("sum(count * (count - 1) / 2)").first()[0]
+    assert pairs < 0.02 * len(signed) ** 2 / 2
+
+
 def test_one_of_each_keeps_one_row_per_group(spark, rows):
     text = "one two three four five six seven eight nine ten"
     docs = spark.createDataFrame([(3, text, 1), (2, text, 2), (2, text, 2), (9, "other words entirely", 3),
@@ -249,6 +268,11 @@ def test_tokens_are_owned_by_rule(text, rule, data):
 
 # --- archives ---------------------------------------------------------------
 
+def test_long_runs_of_zeros_are_an_address():
+    text = "0" * 5_000 + ".1.1.1 and " + "0" * 5_000 + ".256.1.1"
+    assert pii.plain_spans(text) == [(0, 1, 5_006)]
+
+
 def test_broken_archives_are_reported(spark, tmp_path):
     body = "é" * 30_000
     digest = brute.digest32(body.encode())
@@ -272,6 +296,31 @@ def test_broken_archives_are_reported(spark, tmp_path):
     assert found[6][0] is None and found[6][1].startswith("broken framing")
 
 
+def test_nothing_is_lost_without_a_first_segment_or_an_end(spark, tmp_path):
+    body = "é" * 30_000
+    parts = list(warc.records(1, "u", body.encode(), brute.digest32(body.encode()), None, 1 << 14))
+    whole = list(warc.records(2, None, b"<p>", brute.digest32(b"<p>"), None, 1 << 14))
+    third = list(warc.records(3, None, b"<q>", brute.digest32(b"<q>"), None, 1 << 14))
+
+    def store(name, some, cut=0, squeeze=False):
+        content = b"".join(r + b"\r\n\r\n" for r in some)
+        content = gzip.compress(content) if squeeze else content
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc").write_bytes(content[:len(content) - cut])
+        got = warc.read_archives(spark, str(tmp_path / name)).withColumn("page", warc.page_of(F.col("record_id")))
+        return sorted(((r.page, r.payload_bytes, r.error) for r in got.collect()), key=repr)
+
+    fine, missing = ("2", 3, None), "segments missing or total length wrong"
+    assert store("no-first", [*parts[1:], *whole]) == [("1", None, missing), fine]
+    assert store("cut-block", [*whole, *third], 12) == [fine, ("3", None, "truncated block")]
+    assert store("cut-head", [*whole, *third], len(third[0])) == [fine, (None, None, "truncated header")]
+    assert store("members", whole, squeeze=True) == [fine]
+    (_, _, error), = store("cut-gzip", whole, 40, True)
+    assert error == "truncated gzip"
+    assert store("no-number", [whole[0].replace(b"Content-Length: ", b"Content-Length: x")])[0][2] == (
+        "no number in content-length")
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.binary(max_size=300), st.integers(1, 50))
 def test_chunks_round_trip(payload, size):

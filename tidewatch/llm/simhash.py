@@ -12,7 +12,11 @@ linked pair agrees on one of ten pairs of blocks. Nothing linked is lost.
 A bucket never emits all its pairs. First each member is tested against the smallest
 and the largest fingerprint of its bucket, and these stars are joined to components.
 Then only members outside the component of their bucket's majority are paired with
-the rest, so a dense group of near copies costs a row per copy and bucket.
+the rest, so a dense group of near copies costs a row per copy and bucket. A bucket of
+more than 64 members that are not one component is dealt anew: its free bits are cut
+into four parts, of which three differing bits leave one untouched, and members meet
+where a part agrees, too. Three such rounds fix 48 bits or more, so that the members
+that one fingerprint can meet are bounded whatever the data.
 
 Defined cases: NULL and empty texts have no words and the fingerprint zero, which is
 linked like any other; repeated rows and NULL ids keep their rows, a component's id
@@ -39,6 +43,8 @@ SHINGLE = 3
 PIVOTS = 16
 #: Widths of the five bit blocks; two of them form a bucket.
 BLOCKS = [13, 13, 13, 13, 12]
+#: Members of a bucket that are paired without dealing the bucket anew, and rounds of dealing.
+BUCKET, ROUNDS = 64, 3
 #: Windows hashed at a time; bounds the memory for one very long text.
 SLICE = 1 << 16
 
@@ -98,19 +104,70 @@ def _near(a: str, b: str, n: int, most: int) -> Column:
     return near & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= most)
 
 
-def _bucket_keys() -> list[Column]:
-    """For each pair of blocks, its number and the bits of the two blocks."""
+def _bucket_masks() -> list[int]:
+    """For each pair of blocks the mask of its bits."""
     masks, at = [], 0
     for width in BLOCKS:
         masks.append(((1 << width) - 1) << at)
         at += width
-    keys = []
-    for i, (a, b) in enumerate(combinations(masks, 2)):
-        mask = a | b
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.struct(F.lit(i).cast("tinyint").alias("t"),
-                             F.col("fp").bitwiseAND(F.lit(signed).cast("bigint")).alias("bits")))
-    return keys
+    return [a | b for a, b in combinations(masks, 2)]
+
+
+def _narrower(masks: list[int]) -> list[int]:
+    """Each mask with one quarter of its free bits added, four in a row for each."""
+    out = []
+    for mask in masks:
+        free = [i for i in range(64) if not mask >> i & 1]
+        for k in range(4):
+            part = free[k * len(free) // 4:(k + 1) * len(free) // 4]
+            out.append(mask | sum(1 << i for i in part))
+    return out
+
+
+def _masked(fp: str, mask: Column) -> Column:
+    return F.col(fp).bitwiseAND(mask)
+
+
+def _literals(masks: list[int]) -> list[Column]:
+    return [F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint") for m in masks]
+
+
+def _bucket_keys() -> list[Column]:
+    """For each pair of blocks, its number and the bits of the two blocks."""
+    return [F.struct(F.lit(i).cast("int").alias("t"), _masked("fp", mask).alias("bits"))
+            for i, mask in enumerate(_literals(_bucket_masks()))]
+
+
+def _dealt(large: DataFrame, masks: list[int]) -> DataFrame:
+    """Members of large buckets in the four narrower buckets of each; `masks` are those of the new round."""
+    known = F.array(*_literals(masks))
+    number = F.explode(F.array(*(F.col("t") * 4 + F.lit(k) for k in range(4)))).alias("t")
+    rows = large.select(number, "x", "label")
+    return rows.select("t", _masked("x.fp", F.get(known, F.col("t"))).alias("bits"), "x", "label")
+
+
+def _across(open_buckets: DataFrame, most: int, n: int) -> DataFrame:
+    """Labels `u`, `v` of linked members (`t`, `bits`, `x`, `label`) of one bucket with different labels."""
+    masks, out = _bucket_masks(), None
+    for at in range(ROUNDS + 1):
+        major = open_buckets.groupBy("t", "bits", "label").agg(F.count("*").alias("n")).groupBy("t", "bits").agg(
+            F.max(F.struct("n", "label"))["label"].alias("major"), F.count("*").alias("labels"),
+            F.sum("n").alias("members"))
+        # buckets that are one component already need no further pairs
+        split = spread_join(open_buckets, major.filter("labels > 1").drop("labels"), ["t", "bits"])
+        split = stored(split, "split-buckets")
+        ready = split if at == ROUNDS else split.filter(F.col("members") <= BUCKET)
+        a = ready.filter(F.col("label") != F.col("major")).select("t", "bits", F.col("x").alias("a"),
+                                                                  F.col("label").alias("la"))
+        b = ready.select("t", "bits", F.col("x").alias("b"), F.col("label").alias("lb"))
+        pairs = a.join(b, ["t", "bits"]).filter((F.col("la") != F.col("lb")) & _near("a", "b", n, most))
+        found = pairs.select(F.col("la").alias("u"), F.col("lb").alias("v")).distinct()
+        out = found if out is None else out.unionAll(found)
+        large = split.filter(F.col("members") > BUCKET)
+        if at == ROUNDS or large.isEmpty():
+            return out
+        masks = _narrower(masks)
+        open_buckets = _dealt(large, masks)
 
 
 def links(fps: DataFrame, most: int = MAX_BITS, n: int = PIVOTS) -> DataFrame:
@@ -134,16 +191,7 @@ def links(fps: DataFrame, most: int = MAX_BITS, n: int = PIVOTS) -> DataFrame:
     found = stored(components(stars), "stars")
     labelled = spread_join(members.select("t", "bits", "x", F.col("x.fp").alias("node")), found, ["node"], "left")
     labelled = stored(labelled.select("t", "bits", "x", F.coalesce("component", "node").alias("label")), "labelled")
-    major = labelled.groupBy("t", "bits", "label").agg(F.count("*").alias("n")).groupBy("t", "bits").agg(
-        F.max(F.struct("n", "label"))["label"].alias("major"), F.count("*").alias("labels"))
-    # buckets that are one component already need no further pairs
-    split = spread_join(labelled, major.filter("labels > 1").drop("labels"), ["t", "bits"])
-    split = stored(split, "split-buckets")
-    minor = split.filter(F.col("label") != F.col("major"))
-    a = minor.select("t", "bits", F.col("x").alias("a"), F.col("label").alias("la"))
-    b = split.select("t", "bits", F.col("x").alias("b"), F.col("label").alias("lb"))
-    pairs = a.join(b, ["t", "bits"]).filter((F.col("la") != F.col("lb")) & _near("a", "b", n, most))
-    across = pairs.select(F.col("la").alias("u"), F.col("lb").alias("v")).distinct()
+    across = _across(labelled, most, n)
     return components(across.unionAll(found.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
 

@@ -177,7 +177,7 @@ def parse(content: bytes) -> Iterator[dict]:
     broken = None
     if content[:2] == b"\x1f\x8b":
         content, broken = unzipped(content)
-    at = content.find(b"WARC/")
+    end, at = 0, content.find(b"WARC/")
     while at >= 0:
         stop = content.find(b"\r\n\r\n", at)
         if stop < 0:
@@ -203,9 +203,10 @@ def parse(content: bytes) -> Iterator[dict]:
             fields["fault"] = broken or "truncated block"
             broken = None
         yield {**fields, "block": block}
-        at = content.find(b"WARC/", stop + 4 + len(block))
-    if broken:
-        yield {"fault": broken, "block": b""}
+        end = stop + 4 + len(block)
+        at = content.find(b"WARC/", end)
+    if broken or content[end:].strip():
+        yield {"fault": broken or "truncated header", "block": b""}
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
