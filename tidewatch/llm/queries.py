@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, language, licenses, oracles, packing, pii, quality, sharding, simhash, tokens, warc
+from tidewatch.llm import (alignment, decontaminate, density, language, licenses, oracles, packing, pii, quality, sharding,
+                           simhash, spelling, tokens, warc)
 from tidewatch.session import scratch_path, stored
 
 SHARDS = 16
+#: Of so many runs of letters of a document, one is misspelled.
+MISSPELLED = 199
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +91,25 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "base_failed", "kept")
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return density.extract(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, of which a fixed share loses a letter."""
+    runs = spelling.letter_runs(_table(spark, sf_dir, "documents"))
+    name = F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), "run")
+    drawn = runs.select("run", F.crc32(F.encode(name, "utf-8")).alias("h"))
+    at = F.pmod("h", F.char_length("run").cast("bigint")).cast("int")
+    cut = F.concat(F.substr("run", F.lit(1), at), F.substr("run", at + F.lit(2)))
+    words = drawn.select(F.when(F.col("h") % MISSPELLED == 0, cut).otherwise(F.col("run")).alias("word"))
+    return spelling.variants(spelling.word_counts(words))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_simhash": op2_simhash,
@@ -99,6 +121,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_warc": op9_warc,
     "op10_quality": op10_quality,
+    "op11_main_text": op11_main_text,
+    "op12_alignment": op12_alignment,
+    "op13_spelling": op13_spelling,
 }
 
 SQL = oracles.SQL
