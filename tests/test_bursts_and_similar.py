@@ -47,6 +47,47 @@ def test_top_similar_in_blocks_equals_brute_force(spark, rows, monkeypatch, quer
         [(i, v) for i, v, _, s in expected if s >= 0.75], key=repr)
 
 
+def _clustered(seed, clusters, each, spread=0.05, size=16):
+    rng = np.random.default_rng(seed)
+    middles = rng.normal(size=(clusters, size))
+    return np.concatenate([m + rng.normal(size=(each, size)) * spread * np.linalg.norm(m) / 4 for m in middles])
+
+
+def test_cells_that_cannot_win_are_not_visited(spark, rows, monkeypatch):
+    c = np.concatenate([_clustered(3, 20, 12)] * 10)  # a corpus copied ten times
+    q = _clustered(3, 20, 2)[::2] + 0.001
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id int, vector array<double>")
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "verdict_id int, vector array<double>")
+    monkeypatch.setattr(similar, "CORPUS_BLOCK", 50)
+    index = similar.cell_index(corpus)
+    cells = int((index.sizes > 0).sum())
+    assert cells >= 20 and index.sizes.sum() == len(c) and index.parts.max() > 1
+    first = similar.visits(queries, index, 5, -1.0)
+    found = similar.top_similar(queries, corpus)
+    kth = found.filter("rank = 5").selectExpr("query_id", "similarity as found")
+    rest = similar.visits(queries.join(kth, "query_id"), index, 5, -1.0)
+    looked = first.count() + rest.count()
+    assert first.select("query_id").distinct().count() == len(q)
+    assert looked < 0.25 * len(q) * cells
+    sims = np.round((q / np.linalg.norm(q, axis=1)[:, None]) @ (c / np.linalg.norm(c, axis=1)[:, None]).T, 6)
+    expected = [(i, j, r + 1, s) for i, row in enumerate(sims)
+                for r, (s, j) in enumerate((-s, j) for s, j in sorted((-s, j) for j, s in enumerate(row))[:5])]
+    assert rows(found, "query_id", "verdict_id", "rank", "similarity") == sorted(expected, key=repr)
+    # nothing but a threshold leaves still less to look at
+    assert similar.visits(queries, index, 5, 1.1).count() == 0
+
+
+def test_bounds_hold_for_every_vector(spark):
+    c, q = _clustered(8, 6, 20, 0.6), _clustered(9, 6, 5, 0.9)
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "verdict_id int, vector array<double>")
+    index = similar.cell_index(corpus)
+    units = q / np.linalg.norm(q, axis=1)[:, None]
+    bounds = index.bounds(units)
+    for r in index.rows.collect():
+        v = np.array(r.vector)
+        assert (units @ (v / np.linalg.norm(v)) <= bounds[:, r.cell] + 1e-9).all()
+
+
 def test_similar_with_an_empty_side(spark):
     queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, vector array<double>")
     nothing = spark.createDataFrame([], "verdict_id int, vector array<double>")

@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
-from math import ceil
+from collections.abc import Iterator
+from dataclasses import dataclass
+from math import ceil, isqrt
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.shaping import spread_join
 from tidewatch.operators.registry import orphans
+from tidewatch.session import stored
 
 # Rows per block: together some 150 MB of 768-wide vectors per task. Larger query
 # blocks copy the corpus less often; the product is taken in slices of a block.
 QUERY_BLOCK = 4_000
 CORPUS_BLOCK = 20_000
 SLICE = 256
+#: Cells of the index: the square root of the corpus, but no more. Their centroids (6 MB at
+#: 768 dimensions) go to every task.
+MAX_CELLS = 1024
+#: Similarities are rounded to six places; a bound that is lower by more cannot win.
+SLACK = 2e-6
 
 
 def verdict_documents(ar: DataFrame, ti: DataFrame, dns: DataFrame) -> DataFrame:
@@ -53,37 +62,162 @@ def verdict_corpus(vectors: DataFrame, ar: DataFrame, ti: DataFrame, now: Column
     return vectors.join(scored, "verdict_id").join(recent, "verdict_id", "left_semi")
 
 
-def top_similar(queries: DataFrame, corpus: DataFrame, k: int = 5, min_similarity: float | None = None) -> DataFrame:
-    """Exact top `k` of the corpus per query by cosine, rounded to six places, lower id on a tie.
+@dataclass(frozen=True)
+class CellIndex:
+    """A corpus cut into cells around centroids.
 
-    Queries (query_id, vector) and corpus (verdict_id, vector) have one row per
-    id. They are cut into blocks by id, and each pair of blocks is one group: a
-    matrix product of bounded size that passes on only `k` rows per query.
-    Neither side is broadcast, and no pair of vectors becomes a row. The two
-    counts that size the grid read no vectors. Vectors that are NULL, hold a NULL
-    or have no length have no direction: such queries and entries have no result.
+    `rows` (verdict_id, vector, cell, part) is stored; a part of a cell holds no more than about
+    `CORPUS_BLOCK` rows. `low` and `high` are the smallest and largest angle between a cell's
+    centroid and its vectors, `sizes` and `parts` its rows and parts.
     """
-    queries, corpus = _with_direction(queries), _with_direction(corpus)
-    query_blocks = max(1, ceil(queries.count() / QUERY_BLOCK))
-    corpus_blocks = max(1, ceil(corpus.count() / CORPUS_BLOCK))
+    rows: DataFrame
+    centroids: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    sizes: np.ndarray
+    parts: np.ndarray
+
+    def bounds(self, units: np.ndarray) -> np.ndarray:
+        """The largest similarity that each vector (row) can have in each cell (column).
+
+        By the triangle inequality of angles, a vector of the cell is at least as far away as
+        the angle to the centroid lies outside the cell's range.
+        """
+        angles = np.arccos(np.clip(units @ self.centroids.T, -1, 1))
+        return np.cos(np.maximum(np.maximum(angles - self.high, self.low - angles), 0))
 
-    def grid(df: DataFrame, id_col: str, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
-        return df.select(id_col, "vector", F.pmod(F.xxhash64(id_col), F.lit(own_n)).alias(own),
-                         F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))).alias(other))
 
-    left = grid(queries, "query_id", "qb", query_blocks, "cb", corpus_blocks)
-    right = grid(corpus, "verdict_id", "cb", corpus_blocks, "qb", query_blocks)
-    id_types = [queries.schema["query_id"].dataType.simpleString(), corpus.schema["verdict_id"].dataType.simpleString()]
-    schema = f"query_id {id_types[0]}, verdict_id {id_types[1]}, similarity double"
+def cell_index(corpus: DataFrame) -> CellIndex | None:
+    """The index of a corpus (verdict_id, vector), None if no vector of it has a direction.
+
+    Centroids are the vectors with the smallest hashes of their ids, a sample of bounded
+    size; every vector goes to the nearest one.
+    """
+    corpus = stored(_with_direction(corpus.select("verdict_id", "vector")), "corpus")
+    n = corpus.count()
+    if not n:
+        return None
+    drawn = corpus.orderBy(F.xxhash64("verdict_id"), "verdict_id").limit(min(MAX_CELLS, isqrt(n - 1) + 1)).select("vector")
+    centroids = np.unique(_unit_rows(drawn.toPandas()["vector"]), axis=0)
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                cosines = _unit_rows(batch["vector"]) @ centroids.T
+                nearest = cosines.argmax(axis=1)
+                angle = np.arccos(np.clip(cosines[np.arange(len(batch)), nearest], -1, 1))
+                yield batch.assign(cell=nearest.astype(np.int32), angle=angle)
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in corpus.schema)
+    rows = stored(corpus.mapInPandas(placed, f"{fields}, cell int, angle double"), "cells")
+    low, high, sizes = np.full(len(centroids), np.pi), np.zeros(len(centroids)), np.zeros(len(centroids), np.int64)
+    for cell in rows.groupBy("cell").agg(F.min("angle"), F.max("angle"), F.count("*")).collect():
+        low[cell[0]], high[cell[0]], sizes[cell[0]] = cell[1:]
+    parts = np.maximum(1, -(-sizes // CORPUS_BLOCK))
+    known = F.array(*(F.lit(int(p)) for p in parts))
+    part = F.pmod(F.xxhash64("verdict_id"), F.get(known, F.col("cell"))).cast("int")
+    return CellIndex(rows.select("verdict_id", "vector", "cell", part.alias("part")), centroids, low, high, sizes, parts)
+
+
+def visits(queries: DataFrame, index: CellIndex, k: int, floor: float) -> DataFrame:
+    """`query_id`, `cell` of the cells that a query looks at.
+
+    Without a column `found` these are its most promising cells, until they hold `k` vectors.
+    With it (the `k`-th best similarity so far, NULL if there are fewer) they are the other
+    cells that can hold a better one. A bound below `floor` is never looked at.
+    """
+    second = "found" in queries.columns
+    held = CellIndex(None, index.centroids, index.low, index.high, index.sizes, index.parts)
+
+    def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), SLICE):
+                some = batch[start:start + SLICE]
+                bounds = held.bounds(_unit_rows(some["vector"]))
+                bounds[:, held.sizes == 0] = -2
+                order = np.argsort(-bounds, axis=1, kind="stable")
+                before = np.cumsum(held.sizes[order], axis=1) - held.sizes[order]
+                first = np.zeros(bounds.shape, bool)
+                np.put_along_axis(first, order, before < k, axis=1)
+                wanted = (bounds >= floor - SLACK) & first
+                if second:
+                    found = some["found"].to_numpy(np.float64, na_value=-1.0)
+                    wanted = (bounds >= np.maximum(found, floor)[:, None] - SLACK) & ~first & (bounds > -2)
+                row, cell = np.nonzero(wanted)
+                yield pd.DataFrame({"query_id": some["query_id"].to_numpy()[row], "cell": cell.astype(np.int32)})
+
+    kind = queries.schema["query_id"].dataType.simpleString()
+    return queries.mapInPandas(chosen, f"query_id {kind}, cell int")
+
+
+def _sliced(queries: DataFrame, index: CellIndex) -> DataFrame:
+    """Adds `slice`: about `QUERY_BLOCK` queries each, neighbours together, so that a slice looks at few cells."""
+    centroids = index.centroids
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                near = (_unit_rows(batch["vector"]) @ centroids.T).argmax(axis=1)
+                yield batch.assign(near=near.astype(np.int32))
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema)
+    queries = stored(queries.mapInPandas(nearest, f"{fields}, near int"), "queries")
+    sizes = np.zeros(len(centroids), np.int64)
+    for cell in queries.groupBy("near").count().collect():
+        sizes[cell[0]] = cell[1]
+    first = (np.cumsum(sizes) - sizes) // QUERY_BLOCK
+    parts = np.maximum(1, -(-sizes // QUERY_BLOCK))
+    known = [F.get(F.array(*(F.lit(int(x)) for x in values)), F.col("near")) for values in (first, parts)]
+    return queries.withColumn("slice", (known[0] + F.pmod(F.xxhash64("query_id"), known[1])).cast("int")).drop("near")
+
+
+def _looked_up(queries: DataFrame, wanted: DataFrame, index: CellIndex, k: int) -> DataFrame:
+    """The best `k` of each wanted cell part for each query; a block of vectors on either side is one group."""
+    wanted = stored(wanted, "visits")
+    parts = F.array(*(F.lit(int(p)) for p in index.parts))
+    left = spread_join(wanted, queries, ["query_id"]).withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.get(parts, F.col("cell")) - 1)))
+    pairs = spread_join(wanted, queries.select("query_id", "slice"), ["query_id"]).select("cell", "slice").distinct()
+    right = index.rows.join(pairs, "cell").select("verdict_id", "vector", F.col("cell").alias("c"), F.col("part").alias("p"),
+                                                  F.col("slice").alias("s"))
+    id_types = [queries.schema["query_id"].dataType.simpleString(), index.rows.schema["verdict_id"].dataType.simpleString()]
 
     def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         return _block_top_k(q, c, k)
 
-    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(best, schema)
+    return left.groupBy("cell", "part", "slice").cogroup(right.groupBy("c", "p", "s")).applyInPandas(
+        best, f"query_id {id_types[0]}, verdict_id {id_types[1]}, similarity double")
+
+
+def top_similar(queries: DataFrame, corpus: DataFrame, k: int = 5, min_similarity: float | None = None) -> DataFrame:
+    """Exact top `k` of the corpus per query by cosine, rounded to six places, lower id on a tie.
+
+    Queries (query_id, vector) and corpus (verdict_id, vector) have one row per id. The corpus
+    is cut into cells around centroids. A query first looks at its most promising cells; its
+    `k`-th best there then rules out every cell whose angular bound is lower, and only the
+    others are looked at. Vectors meet in blocks of bounded size on both sides, as a matrix
+    product that passes on `k` rows per query; no pair of vectors becomes a row and neither
+    side is broadcast. Vectors that are NULL, hold a NULL or have no length have no direction:
+    such queries and entries have no result.
+    """
+    floor = -1.0 if min_similarity is None else min_similarity
+    queries = _with_direction(queries.select("query_id", "vector"))
+    index = cell_index(corpus)
+    if index is None:
+        kind = corpus.schema["verdict_id"].dataType.simpleString()
+        return queries.filter("false").select("query_id", F.lit(None).cast(kind).alias("verdict_id"),
+                                              F.lit(None).cast("double").alias("similarity"), F.lit(0).alias("rank"))
+    queries = stored(_sliced(queries, index), "sliced")
+    near = stored(_looked_up(queries, visits(queries.select("query_id", "vector"), index, k, floor), index, k), "near")
+    smallest = F.expr(f"get(array_sort(collect_list(-similarity)), {k - 1})")
+    found = near.groupBy("query_id").agg((-smallest).alias("found"))
+    open_queries = spread_join(queries.select("query_id", "vector"), found, ["query_id"], "left")
+    rest = _looked_up(queries, visits(open_queries, index, k, floor), index, k)
+    both = near.unionAll(rest)
     if min_similarity is not None:
-        found = found.filter(F.col("similarity") >= min_similarity)
+        both = both.filter(F.col("similarity") >= min_similarity)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "verdict_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return both.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def _with_direction(df: DataFrame) -> DataFrame:
