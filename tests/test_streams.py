@@ -8,7 +8,7 @@ START = datetime(2024, 1, 1)
 
 
 def dns_rows(hours, per_hour):
-    return [(h * per_hour + i, START + timedelta(hours=h, seconds=30 * i), "reply", "A", f"d{i % 3}.com",
+    return [(str(h * per_hour + i), START + timedelta(hours=h, seconds=30 * i), "reply", "A", f"d{i % 3}.com",
              f"10.0.0.{i % 2}", f"1.1.{h}.{i}") for h in hours for i in range(per_hour)]
 
 
@@ -33,9 +33,9 @@ def test_pending_stream_sees_new_indicators(spark, rows, tmp_path):
         known += seen
         spark.createDataFrame(dns_rows([hour], 5), DNS_QUERIES).write.mode("append").parquet(inbox)
         jobs.stream_pending(spark.readStream.schema(DNS_QUERIES).parquet(inbox),
-                            lambda: spark.createDataFrame([(i,) for i in known], "dns_query_id bigint"),
+                            lambda: spark.createDataFrame([(str(i),) for i in known], "dns_query_id string"),
                             out, state, availableNow=True).awaitTermination()
-    assert rows(spark.read.parquet(out), "dns_query_id") == [(i,) for i in (2, 3, 4, 7, 8, 9)]
+    assert rows(spark.read.parquet(out), "dns_query_id") == [(str(i),) for i in (2, 3, 4, 7, 8, 9)]
 
 
 def burst_stream(spark, tmp_path, data, **options):

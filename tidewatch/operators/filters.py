@@ -82,6 +82,34 @@ def _by_list(dns: DataFrame, blocklist: DataFrame, how: str) -> DataFrame:
     return spread_join(keyed, names, ["_name"], how).drop("_name")
 
 
+def listed_parents(dns: DataFrame, blocklist: DataFrame) -> DataFrame:
+    """Rows with `listed`: the shortest listed domain that the queried name is or lies below, NULL if none.
+
+    A distinct name is joined as itself and as each of its parents, label by label; a name
+    has 127 labels at most. A final dot and upper case make no difference.
+    """
+    name = F.regexp_replace(F.lower("domain"), r"\.$", "")
+    keyed = dns.withColumn("_name", name)
+    labels = F.split("_name", r"\.")
+    parent = F.transform(F.sequence(F.lit(1), F.size(labels)),
+                         lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    parents = keyed.select("_name").distinct().filter("_name <> ''").select("_name", F.explode(parent).alias("parent"))
+    names = blocklist.select(F.col("domain").alias("parent")).distinct()
+    hits = spread_join(parents, names, ["parent"])
+    shortest = hits.groupBy("_name").agg(F.min(F.struct(F.char_length("parent").alias("n"), "parent"))["parent"].alias("listed"))
+    return spread_join(keyed, shortest, ["_name"], "left").drop("_name")
+
+
+def blocked_below(dns: DataFrame, blocklist: DataFrame) -> DataFrame:
+    """Queries of listed domains and of all names below them, with the listed domain."""
+    return listed_parents(dns, blocklist).filter("listed is not null")
+
+
+def allowed_outside(dns: DataFrame, blocklist: DataFrame) -> DataFrame:
+    """Queries of names that are not listed and lie below no listed domain."""
+    return listed_parents(dns, blocklist).filter("listed is null").drop("listed")
+
+
 def whole_hours(df: DataFrame, col: str, start: Column, end: Column) -> DataFrame:
     """Rows of all hours that the range touches.
 

@@ -16,7 +16,7 @@ from tidewatch import schemas
 from tidewatch.functions import net
 from tidewatch.functions.styles import pick_severity, threshold_color
 from tidewatch.functions.times import month_key, ntz
-from tidewatch.operators import bursts, enrich, filters, maintain, registry, reports, similar
+from tidewatch.operators import attribution, bursts, enrich, filters, maintain, ranges, registry, reports, similar
 from tidewatch.plans import panels
 from tidewatch.session import scratch_path, stored
 from tidewatch.sources import lists, logs, raw_reports, tables
@@ -28,6 +28,8 @@ SCAN_START, SCAN_END = "2001-01-01 00:00:00", "2001-06-30 12:00:00"
 SCAN_NOW = "2001-10-31 08:00:00"
 DNS_START, DNS_END = "2024-01-08 00:30:00", "2024-01-15 12:00:00"
 DNS_NOW = "2024-01-31 00:00:00"
+#: Seconds within which a reply belongs to a query of its domain.
+ASKED_WITHIN = 21_600
 CONTEXT_PROVIDERS = {"vt": "VirusTotal", "tf": "Abuse_ThreatFox", "uh": "Abuse_URLhaus"}
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -303,6 +305,20 @@ def address_ranges(d: Data) -> DataFrame:
                                 net.in_cidr(answer, net.ACCESS_RANGES).alias("allowed"))
 
 
+@query
+def longest_ranges(d: Data) -> DataFrame:
+    """Addresses with the longest range of a table that holds each."""
+    addresses = d.dns_queries.select("id", F.coalesce("response_ip", "source_ip").alias("address"))
+    return ranges.longest_range(addresses, "address", ranges.compile_ranges(d.range_list))
+
+
+@query
+def address_table(d: Data) -> DataFrame:
+    """The table of ranges as compiled, and what is no range."""
+    bad = ranges.invalid_ranges(d.range_list).select("range", F.lit(None).cast("int").alias("length"))
+    return ranges.compile_ranges(d.range_list).select("range", "length").unionAll(bad)
+
+
 @query
 def blocklist_sources(d: Data) -> DataFrame:
     return lists.blocklist_sources(d.list_addresses)
@@ -323,6 +339,26 @@ def allowed_queries(d: Data) -> DataFrame:
     return filters.allowed_queries(d.dns_queries, lists.compile_blocklist(d.list_lines))
 
 
+@query
+def filter_list(d: Data) -> DataFrame:
+    return lists.compile_blocklist(d.filter_lines)
+
+
+@query
+def list_junk(d: Data) -> DataFrame:
+    return lists.list_junk(d.filter_lines)
+
+
+@query
+def blocked_below(d: Data) -> DataFrame:
+    return filters.blocked_below(d.host_queries, lists.compile_blocklist(d.filter_lines))
+
+
+@query
+def allowed_outside(d: Data) -> DataFrame:
+    return filters.allowed_outside(d.host_queries, lists.compile_blocklist(d.filter_lines))
+
+
 @query
 def seeded_providers(d: Data) -> DataFrame:
     """Document sources and the known providers as one dictionary of names."""
@@ -353,12 +389,22 @@ def rejected_log(d: Data) -> DataFrame:
 
 @query
 def streamed_log(d: Data) -> DataFrame:
-    """Ingest from rotated log files by the streaming job, accepted rows."""
+    """Ingest from rotated log files by the streaming job, accepted rows; `same_id` rows share the id of each.
+
+    The id itself holds the name of the file, which differs in every run.
+    """
     inbox, out = scratch_path(d.spark, "inbox"), scratch_path(d.spark, "dns")
     d.log_lines.write.text(inbox)
     jobs.stream_dns(d.spark, inbox, out, scratch_path(d.spark, "state"), ntz(DNS_NOW),
                     availableNow=True).awaitTermination()
-    return logs.read_dns(d.spark, out).drop("batch_id", "id")
+    rows = logs.read_dns(d.spark, out).drop("batch_id")
+    return rows.join(rows.groupBy("id").agg(F.count("*").alias("same_id")), "id").drop("id")
+
+
+@query
+def identified_log(d: Data) -> DataFrame:
+    """Every line of a log with the key of its DNS row."""
+    return logs.identified(d.log_lines, F.lit("log"))
 
 
 # --- raw reports and enrichment --------------------------------------------
@@ -500,7 +546,7 @@ def alerts_of_ingested_log(d: Data) -> DataFrame:
     The model's answer is replaced by a text that is made from the queue row.
     """
     now = ntz(DNS_NOW)
-    dns = logs.parse_dns_lines(logs.identified(d.log_lines, F.lit("log")), now).dropDuplicates(["id"])
+    dns = logs.parse_dns_lines(logs.identified(d.log_lines, F.lit("log")), now)
     scanned = d.threat_indicators.withColumn("dns_query_id", F.col("dns_query_id").cast("string"))
     queue = reports.pending_analysis(dns, scanned)
     score = (1 + F.length("observable_ip") % 5).cast("string")
@@ -707,6 +753,20 @@ def attributed_queries(d: Data) -> DataFrame:
     return similar.attribute_users(d.dns_queries, d.user_devices)
 
 
+@query
+def attributed_replies(d: Data) -> DataFrame:
+    """Replies with the client that asked and its user."""
+    found = attribution.attribute_replies(d.dns_queries, d.user_devices, ASKED_WITHIN)
+    return found.select("id", "domain", "asked_by", "query_id", "asked_at", "user_name", "device")
+
+
+@query
+def attributed_queue(d: Data) -> DataFrame:
+    """The queue, whose rows are replies, with the client that asked for each."""
+    queue = d.pending().drop("source_ip", "query_count").withColumnsRenamed({"fqdn": "domain", "first_seen": "timestamp"})
+    return attribution.last_query(queue, d.dns_queries.filter("query_type = 'query'"), ASKED_WITHIN)
+
+
 @query
 def hash_mismatches(d: Data) -> DataFrame:
     """File hashes now against a master list in which some files have moved or changed."""

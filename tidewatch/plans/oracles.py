@@ -93,6 +93,41 @@ VIEWS: dict[str, str] = {
         FROM threat_indicators i, dns_queries q, ai_analysis_results a, levels v
         WHERE q.id = i.dns_query_id AND a.id = i.analysis_result_id AND v.score = a.threat_score
           AND v.is_malicious_flag""",
+    "numbered_lines": """
+        SELECT value, sha256('log' || chr(10) || value || chr(10) || row_number() OVER (PARTITION BY value)) AS id
+        FROM log_lines""",
+    "filter_words": r"""
+        SELECT unnest(CASE WHEN len(w) = 1 THEN w ELSE w[2:] END) AS entry FROM (
+          SELECT regexp_split_to_array(lower(t), '[ \t]+') AS w FROM (
+            SELECT trim(regexp_replace(trim(value), '(^|\s)#.*', '')) AS t FROM filter_lines
+            WHERE trim(value)[1] NOT IN ('!', '[')) WHERE t <> '')""",
+    "filter_names": r"""
+        SELECT entry, CASE WHEN length(name) <= 253 AND NOT regexp_full_match(name, '[0-9.]+')
+                 AND list_bool_and([regexp_full_match(x, '[a-z0-9_]([a-z0-9_-]{0,61}[a-z0-9_])?') FOR x IN p])
+                 AND len(p) > 1 AND length(p[-1]) > 1 AND name <> 'localhost.localdomain' THEN name END AS domain
+        FROM (SELECT *, string_split(name, '.') AS p FROM (
+          SELECT entry, regexp_replace(rtrim(CASE WHEN entry LIKE '||%' AND contains(entry, '^')
+            THEN split_part(entry[3:], '^', 1) ELSE entry END, '.'), '^[*]?[.]', '') AS name FROM filter_words))""",
+    "below": """
+        SELECT q.id, q.domain, min_by(n.domain, length(n.domain)) AS listed FROM host_queries q
+        JOIN (SELECT DISTINCT domain FROM filter_names) n
+          ON rtrim(lower(q.domain), '.') = n.domain OR suffix(rtrim(lower(q.domain), '.'), '.' || n.domain)
+        GROUP BY q.id, q.domain""",
+    "range_parts": """
+        SELECT range, split_part(range, '/', 1) AS base,
+               CASE WHEN contains(range, '/') THEN try_cast(split_part(range, '/', 2) AS int)
+                    WHEN contains(range, ':') THEN 128 ELSE 32 END AS bits
+        FROM (SELECT DISTINCT range FROM range_list)""",
+    "good_ranges": """
+        SELECT *, CASE WHEN contains(base, ':') THEN 6 ELSE 4 END AS family,
+               list_reduce([try_cast(x AS bigint) FOR x IN string_split(base, '.')], lambda a, b: a * 256 + b) AS n
+        FROM range_parts WHERE contains(base, ':') OR bits <= 32 AND contains(base, '.')""",
+    "asked": f"""
+        SELECT r.id, max_by(q.id, (q.timestamp, q.id)) AS query_id, max_by(q.source_ip, (q.timestamp, q.id)) AS asked_by,
+               max(q.timestamp) AS asked_at
+        FROM dns_queries r JOIN dns_queries q ON q.domain = r.domain AND q.timestamp <= r.timestamp
+          AND q.timestamp >= r.timestamp - INTERVAL {c.ASKED_WITHIN} SECONDS
+        WHERE r.query_type = 'reply' AND q.query_type = 'query' GROUP BY r.id""",
     "blocked_names": """
         SELECT DISTINCT name AS domain FROM (
           SELECT CASE WHEN len(w) = 1 THEN w ELSE w[2:] END AS names FROM (
@@ -341,7 +376,34 @@ SQL: dict[str, str] = {
     "parsed_log": "SELECT * FROM parsed_lines",
     "stored_log": "SELECT * EXCLUDE (fits) FROM stored_lines WHERE fits",
     "rejected_log": "SELECT * EXCLUDE (fits) FROM stored_lines WHERE NOT fits",
-    "streamed_log": "SELECT * EXCLUDE (fits) FROM stored_lines WHERE fits",
+    "streamed_log": "SELECT * EXCLUDE (fits), cast(1 AS bigint) AS same_id FROM stored_lines WHERE fits",
+    "identified_log": "SELECT * FROM numbered_lines",
+    "filter_list": "SELECT DISTINCT domain FROM filter_names WHERE domain IS NOT NULL",
+    "list_junk": "SELECT entry, count(*) AS times FROM filter_names WHERE domain IS NULL GROUP BY entry",
+    "blocked_below": "SELECT * FROM below",
+    "allowed_outside": "SELECT id, domain FROM host_queries WHERE id NOT IN (SELECT id FROM below)",
+    "address_table": """
+        SELECT g.range, g.bits AS length FROM good_ranges g
+        UNION ALL SELECT l.range, NULL FROM range_list l WHERE l.range NOT IN (SELECT range FROM good_ranges)""",
+    "longest_ranges": """
+        WITH a AS (SELECT id, coalesce(response_ip, source_ip) AS address FROM dns_queries),
+        v AS (SELECT DISTINCT address, list_reduce([cast(x AS bigint) FOR x IN string_split(address, '.')],
+                lambda a, b: a * 256 + b) AS n FROM a
+              WHERE regexp_full_match(address, '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+')
+                AND list_aggregate([cast(x AS int) <= 255 FOR x IN string_split(address, '.')], 'bool_and')),
+        hit AS (SELECT address, max_by(range, bits) AS range, max(bits) AS prefix_length
+                FROM v JOIN good_ranges r ON r.family = 4 AND v.n >> (32 - bits) = r.n >> (32 - bits) GROUP BY address)
+        SELECT a.id, a.address, CASE WHEN a.address = '2001:db8::1' THEN '2001:0DB8:0::/64' ELSE hit.range END AS range,
+               CASE WHEN a.address = '2001:db8::1' THEN 64 ELSE prefix_length END AS prefix_length
+        FROM a LEFT JOIN hit USING (address)""",
+    "attributed_replies": """
+        SELECT r.id, r.domain, a.asked_by, a.query_id, a.asked_at, u.user_name, u.device
+        FROM dns_queries r LEFT JOIN asked a ON a.id = r.id LEFT JOIN user_devices u ON u.source_ip = a.asked_by
+        WHERE r.query_type = 'reply'""",
+    "attributed_queue": """
+        SELECT p.dns_query_id, p.fqdn AS domain, p.observable_ip, p.first_seen AS timestamp, a.asked_by, a.query_id,
+               a.asked_at
+        FROM pending p LEFT JOIN asked a ON a.id = p.dns_query_id""",
     "stored_reports_of_provider": "SELECT * FROM raw_reports WHERE source_provider = 'Abuse_URLhaus'",
     "latest_raw": """
         SELECT * FROM raw_reports
@@ -433,12 +495,12 @@ SQL: dict[str, str] = {
                  AS indicator_id, p.id AS source_id, r.doc_id AS mongo_ref_id, cast(NULL AS varchar) AS raw_response_hash
         FROM detail_rows r JOIN providers p ON p.name = r.source_provider""",
     "alerts_of_ingested_log": f"""
-        SELECT sha256('log' || chr(10) || 'Jan  1 00:00:00 dnsmasq[77]: reply ' || domain || ' is ' || response_ip)
-                 AS dns_query_id,
-               domain AS fqdn, response_ip AS observable_ip, n AS threat_score, l.description AS level,
+        SELECT id AS dns_query_id, domain AS fqdn, response_ip AS observable_ip, n AS threat_score, l.description AS level,
                domain AS verdict_en, timestamp '{c.DNS_NOW}' AS last_scan, timestamp '{c.DNS_NOW}' AS detection_time
-        FROM (SELECT DISTINCT domain, response_ip, cast(1 + length(response_ip) % 5 AS int) AS n FROM parsed_lines
-              WHERE query_type = 'reply' AND record_type = 'A'
+        FROM (SELECT id, domain, response_ip, cast(1 + length(response_ip) % 5 AS int) AS n
+              FROM (SELECT id, split_part(value, ' ', 7) AS domain, split_part(value, ' ', 9) AS response_ip
+                    FROM numbered_lines WHERE value LIKE '%: reply %')
+              WHERE regexp_full_match(response_ip, '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+')
                 AND list_aggregate([cast(x AS int) <= 255 FOR x IN string_split(response_ip, '.')], 'bool_and'))
         JOIN levels l ON l.score = n WHERE l.is_malicious_flag""",
     "unique_indicators": """

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 DNS_QUERIES = T.StructType([
-    T.StructField("id", T.LongType(), False),
+    T.StructField("id", T.StringType(), False),
     T.StructField("timestamp", T.TimestampNTZType(), False),
     T.StructField("query_type", T.StringType(), False),
     T.StructField("record_type", T.StringType()),

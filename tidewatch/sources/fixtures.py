@@ -144,6 +144,29 @@ TABLES: dict[str, list[tuple]] = {
         "WHEN 1 THEN concat('  ', upper(split_part(split_part(url, '://', 2), '/', 1))) "
         "WHEN 2 THEN '# a comment' ELSE concat('127.0.0.1 localhost d', cast(page_id as string), '.example.com') END "
         "AS value"])],
+    # Every syntax that downloaded lists use, and names below the listed ones.
+    "filter_lines": [("pages", [
+        "CASE page_id % 9 WHEN 0 THEN concat('||d', cast(page_id as string), '.example.com^') "
+        "WHEN 1 THEN concat('*.d', cast(page_id as string), '.example.com') "
+        "WHEN 2 THEN concat('  D', cast(page_id as string), '.Example.com.') "
+        "WHEN 3 THEN concat('0.0.0.0 cdn1.d', cast(page_id as string), '.example.com  d', cast(page_id as string), "
+        "'.example.com # two') "
+        "WHEN 4 THEN concat('! comment ', cast(page_id % 7 as string)) WHEN 5 THEN '[Adblock Plus 2.0]' "
+        "WHEN 6 THEN concat('@@||d', cast(page_id as string), '.example.com^') "
+        "WHEN 7 THEN concat('::1 ip6-localhost b.d', cast(page_id as string), '.example.com') "
+        "ELSE concat('||', split_part(split_part(url, '://', 2), '/', 1), '^$third-party') END AS value"])],
+    "host_queries": [("events", [
+        "event_id AS id",
+        f"CASE event_id % 4 WHEN 0 THEN {DOMAIN} WHEN 1 THEN concat('cdn', cast(event_id % 3 as string), '.', {DOMAIN}) "
+        f"WHEN 2 THEN upper(concat('a.b.', {DOMAIN}, '.')) ELSE concat('x', {DOMAIN}) END AS domain"])],
+    # Nested ranges of both families, and texts that are none.
+    "range_list": [
+        ("nation", ["concat(cast(1 + n_nationkey * 9 as string), '.0.0.0/8') AS range"]),
+        ("supplier", ["concat(cast(1 + s_suppkey % 223 as string), '.', cast(s_suppkey % 256 as string), '.0.0/16') AS range"]),
+        ("customer", ["concat(cast(1 + c_custkey % 223 as string), '.', cast(c_custkey % 256 as string), '.7.', "
+                      "CASE WHEN c_custkey % 2 = 0 THEN '9' ELSE '0/27' END) AS range"]),
+        ("region", ["CASE r_regionkey WHEN 0 THEN '2001:db8::/32' WHEN 1 THEN '2001:0DB8:0::/64' WHEN 2 THEN 'fe80::/10' "
+                    "WHEN 3 THEN 'no range' ELSE '10.0.0.0/33' END AS range"])],
     "list_addresses": [("pages", [
         "CASE WHEN page_id % 5 = 0 THEN '   ' ELSE concat('  ', split_part(url, '?', 1), ' ') END AS value"])],
     "user_devices": [("customer", [

@@ -28,14 +28,35 @@ def load_blocklist_sources(spark: SparkSession, path: str) -> DataFrame:
     return blocklist_sources(spark.read.text(path))
 
 
-def compile_blocklist(lines: DataFrame) -> DataFrame:
-    """Distinct lower-case domains of downloaded lists.
+# Fixed pattern: a domain of two labels at least, in lower case.
+DOMAIN_PATTERN = (r"^(?=.{1,253}$)([a-z0-9_]([a-z0-9_-]{0,61}[a-z0-9_])?\.)+[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?$")
+
 
-    Accepts plain domain lines and hosts-format lines (`0.0.0.0 name ...`);
-    comments after `#`, blanks and the machine's own names are left out.
+def list_entries(lines: DataFrame) -> DataFrame:
+    """`entry` (as written, in lower case) and `domain` of every entry of downloaded lists; NULL if it names none.
+
+    Understands plain domains, hosts lines (`0.0.0.0 name ...`), wildcards (`*.name`), filter
+    rules of a whole domain (`||name^`, with options after `$`) and names with a final dot; all of
+    them mean the domain. Comments (`#`, `!`), headers (`[...]`) and blanks are no entries.
     """
-    text = F.trim(F.substring_index("value", "#", 1), F.lit(" \t\r\n"))
+    line = F.trim("value", F.lit(" \t\r\n"))
+    text = F.trim(F.regexp_replace(line, r"(^|\s)#.*", ""), F.lit(" \t\r\n"))
     words = F.split(F.lower(text), r"[ \t]+")
     names = F.when(F.size(words) > 1, F.slice(words, 2, F.size(words))).otherwise(words)
-    domain = lines.filter(text != "").select(F.explode(names).alias("domain"))
-    return domain.filter(~F.col("domain").isin(LOCAL_NAMES)).dropDuplicates()
+    kept = lines.filter((text != "") & ~line.rlike(r"^[!\[]"))
+    entries = kept.select(F.explode(names).alias("entry"))
+    ruled = F.regexp_extract("entry", r"^\|\|([^/^$|]+)\^(\$.*)?$", 1)
+    plain = F.when(ruled != "", ruled).otherwise(F.col("entry"))
+    name = F.regexp_replace(F.regexp_replace(plain, r"^(\*\.|\.)", ""), r"\.$", "")
+    good = name.rlike(DOMAIN_PATTERN) & ~name.rlike(r"^[0-9.]+$") & ~name.isin(LOCAL_NAMES)
+    return entries.select("entry", F.when(good, name).alias("domain"))
+
+
+def compile_blocklist(lines: DataFrame) -> DataFrame:
+    """Distinct lower-case domains of downloaded lists; the machine's own names and junk are left out."""
+    return list_entries(lines).select("domain").filter("domain is not null").dropDuplicates()
+
+
+def list_junk(lines: DataFrame) -> DataFrame:
+    """Entries that name no domain, with how often each occurs."""
+    return list_entries(lines).filter("domain is null").groupBy("entry").agg(F.count("*").alias("times"))

@@ -16,19 +16,39 @@ from tidewatch.sources.tables import with_text_month
 LINE_PATTERN = r"(query|reply)(?:\[([A-Z0-9]+)\])?\s+(\S+)\s+(?:is|from)\s+(\S+)"
 
 
+#: Equal lines of one file that one task writes out; more are shared among tasks.
+RUN = 10_000
+
+
 def identified(lines: DataFrame, source: Column) -> DataFrame:
-    """Adds the key of the DNS row: a SHA-256 of the line and where it came from.
+    """The lines as `value` with `id`, the key of the DNS row: a SHA-256 of file, line and occurrence.
 
-    It is the same on every replay of a file and needs no counter. Equal lines of one
-    file are one event, so they share it.
+    Equal lines of one file are events of their own, so they are numbered. As nothing tells
+    them apart, counting them is enough: a line and its count give all its rows, and the ids
+    are the same on every replay of the file. Counts are summed where the lines are read; the
+    rows of a line that is repeated very often are written out by many tasks.
     """
-    return lines.withColumn("id", F.sha2(F.concat_ws("\n", source, "value"), 256))
+    counted = lines.select(source.alias("_source"), "value").groupBy("_source", "value").agg(F.count("*").alias("_n"))
+    runs = counted.withColumn("_run", F.explode(F.sequence(F.lit(0), F.expr(f"(_n - 1) div {RUN}"))))
+    # one run of a line stays where it is, further ones are dealt out
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    often = runs.filter(f"_n > {RUN}").repartition(tasks, "_source", "value", "_run")
+    runs = runs.filter(f"_n <= {RUN}").unionAll(often)
+    first = F.col("_run") * RUN + 1
+    rows = runs.withColumn("_k", F.explode(F.sequence(first, F.least(F.col("_n"), first + (RUN - 1)))))
+    name = F.concat_ws("\n", "_source", "value", F.col("_k").cast("string"))
+    return rows.select("value", F.sha2(name, 256).alias("id"))
+
+
+def raw_log(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+    """Log lines as `value` with the name of their `file`. The log must be rotated into the folder `path`."""
+    lines = (spark.readStream if streaming else spark.read).text(path)
+    return lines.select("value", F.col("_metadata.file_name").alias("file"))
 
 
-def read_dns_log(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Log lines as `value` with their `id`. The log must be rotated into the folder `path`."""
-    lines = (spark.readStream if streaming else spark.read).text(path)
-    return identified(lines, F.col("_metadata.file_name"))
+def read_dns_log(spark: SparkSession, path: str) -> DataFrame:
+    """Log lines as `value` with their `id`."""
+    return identified(raw_log(spark, path), F.col("file"))
 
 
 def parse_dns_lines(lines: DataFrame, now: Column | None = None) -> DataFrame:

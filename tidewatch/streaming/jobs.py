@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidewatch.functions.times import as_instant, as_wall_clock, hour_label
 from tidewatch.operators.bursts import trailing_failures
 from tidewatch.operators.reports import pending_analysis
-from tidewatch.sources.logs import parse_dns_lines, read_dns, read_dns_log, write_dns
+from tidewatch.sources.logs import identified, parse_dns_lines, raw_log, read_dns, write_dns
 
 WATERMARK = "10 minutes"
 
@@ -21,13 +21,14 @@ def stream_dns(spark: SparkSession, in_dir: str, out: str, checkpoint: str, now:
     """Continuous ingest of rotated log files into the month-partitioned DNS table.
 
     A batch writes into folders that carry its number and replaces them when it
-    runs again, so a retry after a lost executor or driver adds nothing twice.
+    runs again, so a retry after a lost executor or driver adds nothing twice. A batch
+    holds whole files, so it can number the equal lines of each.
     """
     def store(batch: DataFrame, batch_id: int) -> None:
-        write_dns(batch.withColumn("batch_id", F.lit(batch_id)), out, "overwrite", ["batch_id"])
+        rows = parse_dns_lines(identified(batch, F.col("file")), now)
+        write_dns(rows.withColumn("batch_id", F.lit(batch_id)), out, "overwrite", ["batch_id"])
 
-    rows = parse_dns_lines(read_dns_log(spark, in_dir, streaming=True), now)
-    return (rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return (raw_log(spark, in_dir, streaming=True).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "1 minute"})).start())
 
 
