@@ -16,12 +16,13 @@ from tidewatch import schemas
 from tidewatch.functions import net
 from tidewatch.functions.styles import pick_severity, threshold_color
 from tidewatch.functions.times import month_key, ntz
-from tidewatch.operators import attribution, bursts, enrich, filters, maintain, ranges, registry, reports, similar
+from tidewatch.operators import (attribution, bursts, constraints, enrich, filters, maintain, ranges, registry, reports,
+                                 similar, upsert)
 from tidewatch.plans import panels
 from tidewatch.session import scratch_path, stored
 from tidewatch.sources import lists, logs, raw_reports, tables
 from tidewatch.sources.fixtures import derive
-from tidewatch.streaming import jobs
+from tidewatch.streaming import jobs, queue, rollups
 
 # Reference times: the data ends in 2001 (scans) and in January 2024 (events).
 SCAN_START, SCAN_END = "2001-01-01 00:00:00", "2001-06-30 12:00:00"
@@ -576,6 +577,33 @@ def new_links_only(d: Data) -> DataFrame:
     return registry.enforce_unique(rows, ["indicator_id", "source_id"], ["id"], rows.filter("id LIKE '%/2'"))
 
 
+@query
+def upserted_indicators(d: Data) -> DataFrame:
+    """A stored table after two batches, the second of which holds the first again and runs twice."""
+    path, keys = scratch_path(d.spark, "indicators"), ["dns_query_id", "analysis_result_id", "last_scan"]
+    rows = d.threat_indicators
+    for batch_id, new in ((1, rows.filter("scan_count % 2 = 1")), (2, rows), (2, rows)):
+        upsert.upsert(d.spark, new, path, keys, "last_scan", batch_id)
+    return upsert.read_upserted(d.spark, path)
+
+
+@query
+def constraint_violations(d: Data) -> DataFrame:
+    """Rows that the declared tables refuse, by table and rule."""
+    wide = (F.col("confidence_score").cast("decimal(10, 2)") * 20).cast("decimal(10, 2)")
+    tables = {
+        "dns_queries": logs.parse_dns_lines(d.log_lines, ntz(DNS_NOW)),
+        # scores of the older scale, which the newer one does not have
+        "ai_analysis_results": d.legacy_results.withColumn("confidence_score", wide),
+        "threat_indicators": d.threat_indicators.withColumn("analysis_result_id", F.expr(
+            "if(analysis_result_id % 9 = 0, null, analysis_result_id)")),
+        "threat_indicator_details": d.threat_indicator_details.withColumn("source_id", F.col("source_id") + 1),
+        "network_events": d.network_events,
+    }
+    return constraints.violations_by_rule(tables, {
+        "dic_threat_levels": d.levels, "dic_indicator_types": d.types, "dic_source_providers": d.providers})
+
+
 @query
 def scan_counts(d: Data) -> DataFrame:
     return registry.scan_counts(d.threat_indicators)
@@ -699,6 +727,31 @@ def streamed_pending(d: Data) -> DataFrame:
     return d.spark.read.parquet(out).drop("batch_id")
 
 
+@query
+def streamed_queue(d: Data) -> DataFrame:
+    """Entries that a stateful queue still holds after streams of rows and of indicators."""
+    out = scratch_path(d.spark, "queue")
+    queue.stream_queue(d.stream("dns_queries"), d.stream("threat_indicators").filter("dns_query_id > 0"), out,
+                       scratch_path(d.spark, "state"), again_seconds=86400, availableNow=True).awaitTermination()
+    return queue.open_entries(d.spark.read.parquet(out))
+
+
+@query
+def rolled_up_traffic(d: Data) -> DataFrame:
+    path = scratch_path(d.spark, "traffic")
+    rollups.stream_traffic(d.stream("dns_queries"), path, scratch_path(d.spark, "state"),
+                           availableNow=True).awaitTermination()
+    return rollups.hourly_traffic(d.spark, path)
+
+
+@query
+def rolled_up_bursts(d: Data) -> DataFrame:
+    path = scratch_path(d.spark, "failures")
+    rollups.stream_failures(d.stream("failures"), "source", "failed_at", path, scratch_path(d.spark, "state"), 3, 86400,
+                            availableNow=True).awaitTermination()
+    return rollups.burst_rows(d.spark, path)
+
+
 @query
 def burst_offenders(d: Data) -> DataFrame:
     return bursts.burst_offenders(d.failures, "source", "failed_at", 3, 86400)

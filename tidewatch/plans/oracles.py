@@ -513,6 +513,39 @@ SQL: dict[str, str] = {
         WHERE NOT EXISTS (SELECT 1 FROM threat_indicator_details x WHERE x.id LIKE '%/2'
                           AND x.indicator_id = d.indicator_id AND x.source_id = d.source_id)
         GROUP BY d.indicator_id, d.source_id""",
+    "upserted_indicators": """
+        SELECT coalesce(min(id) FILTER (WHERE scan_count % 2 = 1), min(id)) AS id, dns_query_id, analysis_result_id,
+               last_scan, coalesce(min(type_id) FILTER (WHERE scan_count % 2 = 1), min(type_id)) AS type_id,
+               cast(sum(scan_count * (1 + scan_count % 2)) AS int) AS scan_count, strftime(last_scan, '%Y%m') AS ym
+        FROM threat_indicators GROUP BY dns_query_id, analysis_result_id, last_scan""",
+    "constraint_violations": """
+        WITH rules AS (
+          SELECT 'dns_queries' AS table_name, 'domain has more than 255 characters' AS rule FROM parsed_lines
+            WHERE length(domain) > 255
+          UNION ALL SELECT 'dns_queries', 'record_type has more than 10 characters' FROM parsed_lines
+            WHERE length(record_type) > 10
+          UNION ALL SELECT 'dns_queries', 'response_ip has more than 45 characters' FROM parsed_lines
+            WHERE length(response_ip) > 45
+          UNION ALL SELECT 'ai_analysis_results', 'threat_score is not in dic_threat_levels' FROM legacy_results
+            WHERE threat_score NOT BETWEEN 1 AND 5
+          UNION ALL SELECT 'ai_analysis_results', 'confidence_score is out of range' FROM legacy_results
+            WHERE confidence_score * 20 >= 1000
+          UNION ALL SELECT 'threat_indicators', 'analysis_result_id is missing' FROM threat_indicators
+            WHERE analysis_result_id % 9 = 0
+          UNION ALL SELECT 'threat_indicators', 'dns_query_id, analysis_result_id, last_scan is not unique' FROM (
+            SELECT count(*) OVER (PARTITION BY dns_query_id, analysis_result_id, last_scan) AS n
+            FROM threat_indicators WHERE analysis_result_id % 9 <> 0) WHERE n > 1
+          UNION ALL SELECT 'threat_indicator_details', 'source_id is not in dic_source_providers'
+            FROM threat_indicator_details WHERE source_id = 4
+          UNION ALL SELECT 'threat_indicator_details', 'indicator_id, source_id is not unique' FROM (
+            SELECT count(*) OVER (PARTITION BY indicator_id, source_id) AS n FROM threat_indicator_details) WHERE n > 1
+          UNION ALL SELECT 'network_events', 'protocol has more than 10 characters' FROM network_events
+            WHERE length(protocol) > 10
+          UNION ALL SELECT 'network_events', 'http_method has more than 10 characters' FROM network_events
+            WHERE length(http_method) > 10
+          UNION ALL SELECT 'network_events', 'signature_name has more than 255 characters' FROM network_events
+            WHERE length(signature_name) > 255)
+        SELECT table_name, rule, count(*) AS rows FROM rules GROUP BY table_name, rule""",
     "scan_counts": """
         SELECT dns_query_id, analysis_result_id, count(*) AS scan_count, max(last_scan) AS last_scan
         FROM threat_indicators GROUP BY dns_query_id, analysis_result_id""",
@@ -568,6 +601,14 @@ SQL: dict[str, str] = {
         SELECT * EXCLUDE (raw_time) FROM hourly
         WHERE time_sec + 3600 <= (SELECT epoch(max(timestamp)) FROM dns_queries) - 600""",
     "streamed_pending": "SELECT * FROM pending",
+    "streamed_queue": """
+        SELECT cast(dns_query_id AS varchar) AS dns_query_id, source_ip, fqdn, observable_ip, first_seen, 1 AS attempt
+        FROM pending""",
+    "rolled_up_traffic": "SELECT * EXCLUDE (raw_time) FROM hourly",
+    "rolled_up_bursts": """
+        SELECT DISTINCT source, failed_at AS flagged_at, n AS failures, failed_at + INTERVAL 1 DAY AS banned_until
+        FROM (SELECT *, count(*) OVER (PARTITION BY source ORDER BY failed_at
+                RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS n FROM failures) WHERE n >= 3""",
     "burst_offenders": """
         SELECT DISTINCT source, failed_at AS flagged_at, n AS failures, failed_at + INTERVAL 1 DAY AS banned_until
         FROM (SELECT *, count(*) OVER (PARTITION BY source ORDER BY failed_at

@@ -121,6 +121,13 @@ TABLES: dict[str, list[tuple]] = {
         f"CASE WHEN l_linenumber = 3 THEN NULL ELSE {INDICATOR_ID} END AS threat_indicator_id",
         "concat('192.168.1.', cast(l_suppkey % 20 as string)) AS source_ip",
         "'203.0.113.9' AS dest_ip",
+        "cast(l_partkey % 65536 as int) AS dest_port",
+        "CASE l_linenumber WHEN 1 THEN 'TCP' WHEN 2 THEN 'UDP' WHEN 3 THEN 'ICMP-REDIRECT' END AS protocol",
+        "'tls' AS application_protocol",
+        "concat('agent/', cast(l_suppkey as string)) AS user_agent",
+        "CASE WHEN l_linenumber % 2 = 0 THEN 'GET' ELSE 'PROPPATCHES' END AS http_method",
+        "cast(l_linenumber as int) AS severity",
+        "CASE WHEN l_partkey % 10 = 0 THEN repeat('s', 256) ELSE 's' END AS signature_name",
         "concat('https://d', cast(l_partkey as string), '.example.com/p') AS request_url",
         "CASE l_returnflag WHEN 'R' THEN 'alert' WHEN 'A' THEN 'flow' ELSE 'http_request' END AS event_type",
         "CASE WHEN l_returnflag = 'R' THEN 'blocked' ELSE 'allowed' END AS action_taken",
