@@ -74,8 +74,37 @@ def test_forward_sums_every_segmentation():
     words = ["the", "Überraschung", "日本語", "a", "x" * 39, "naïve-co-op"]
     assert np.allclose(language.log_words(words, pieces, p), [total("▁" + w) for w in words])
     long = "abcdefghij" * 9
-    parts = [long[i:i + language.SHORT] for i in range(0, len(long), language.SHORT)]
-    assert np.allclose(language.log_words([long], pieces, p)[0], sum(total("▁" + w) for w in parts))
+    assert np.allclose(language.log_words([long, "a"], pieces, p)[0], total("▁" + long))
+    # spelled in bytes, this is far below the smallest number; longer words are less likely, in every language apart
+    small = p.copy()
+    small[:-1] /= 1e4
+    thirty, forty = language.log_words(["\u1208" * 30, "\u1208" * 60], pieces, small)
+    assert np.isfinite(forty).all() and (forty < 1.9 * thirty).all() and thirty[0] != thirty[1] and (thirty < -800).all()
+
+
+def test_expected_uses_are_the_same_in_blocks_and_in_logarithms():
+    pieces = language.read_pieces()
+    ids = sorted({i for i in pieces.values() if i >= 0})
+    rng = np.random.default_rng(4)
+    p = np.zeros((max(ids) + 2, 3))
+    p[ids] = rng.random((len(ids), 3)) / 100
+    p[-1] = 1.0
+    words, weights = ["the", "Überraschung", "日本語", "naïve-co-op"], rng.random((4, 3))
+    blocks, single = np.zeros_like(p), np.zeros_like(p)
+    assert len(language.Lattice(words, pieces, len(p) - 1).expected(p, weights, blocks)) == 0
+    for word, weight in zip(words, weights):
+        language.LongWord(word, pieces, language._logs(p)).expected(weight, single)
+    assert np.allclose(blocks[:-1], single[:-1])
+
+
+def test_a_rare_language_is_learned(spark):
+    data = [(i, f"the cat and the dog number {i}", "en") for i in range(3_000)]
+    data += [(9_000 + i, "der Hund und die Katze im Haus", "de") for i in range(3)] + [(9_500, "ሰላም " * 9 + "ለ" * 45, "am")]
+    docs = spark.createDataFrame(data, "doc_id int, text string, lang string")
+    model = language.fit(docs, sample=300, key="doc_id")
+    assert model.languages == ["am", "de", "en"]
+    found = language.predict(spark.createDataFrame([(1, "der Hund"), (2, "ሰላምለ"), (3, "the dog")], "doc_id int, text string"), model)
+    assert {r.id: r.lang_pred for r in found.collect()} == {1: "de", 2: "am", 3: "en"}
 
 
 def test_training_raises_the_likelihood_and_too_many_languages_stop(spark, monkeypatch):
@@ -359,12 +388,12 @@ def test_written_shards_hold_every_row(spark, rows, tmp_path):
     assert rows(back.drop("shard")) == rows(docs)
 
 
-def test_fences_follow_the_group_and_small_groups_their_language(spark):
+def test_fences_follow_the_group_and_lean_on_its_language(spark):
     plain = "words of common length fill these lines " * 10
-    data = [(i, plain + f" {' '.join(str(i * 7 + j) for j in range(30))}", "en", "big") for i in range(300)]
+    data = [(i, plain + f" {' '.join(str(i * 7 + j) for j in range(30))}", "en", "big") for i in range(4_000)]
     odd = " ".join(f"$$$ token{i}" for i in range(80))
     data += [(1000, odd, "en", "big"), (1001, odd, "en", "tiny")]
-    data += [(2000 + i, odd.replace("token", f"t{i}x"), "xx", "shell") for i in range(250)]
+    data += [(2000 + i, odd.replace("token", f"t{i}x"), "xx", "shell") for i in range(1_000)]
     docs = spark.createDataFrame(data, "doc_id int, text string, lang string, source string")
     measures = quality.measured(docs)
     kept = {r.id for r in quality.judged(measures, quality.fences(measures)).filter("kept").select(

@@ -3,13 +3,16 @@
 The pieces are those of a fixed public vocabulary. Each language has a probability for
 every piece, and a word's probability is the sum over all its segmentations into
 pieces, by the forward algorithm. Pieces never cross a word boundary, so a text's sum
-is the product of its words' sums, and each distinct word is run once per batch.
+is the product of its words' sums, and each distinct word is run once per batch. Words of
+usual length go through it in blocks; those beyond `SHORT` characters, and those whose sum
+would be too small a number (scripts that are spelled in bytes), are run one by one in
+logarithms, whole however long they are.
 
 The probabilities are learned by expectation maximisation over the distinct words of
 the training texts: forward and backward sums give the expected use of each piece.
-Training takes about `sample` labelled rows, chosen by a hash of their text, and all
-of them if there are fewer; the model hardly changes beyond that. Prediction is over
-every text.
+Training takes about `sample` labelled rows, the same number of each language, chosen by
+a hash of key and text, and all rows of a language that has fewer; the model hardly changes
+beyond that. Prediction is over every text.
 A task returns its sums over the vocabulary, whatever the number of its words, and
 only the table of pieces by languages reaches the driver.
 
@@ -44,6 +47,8 @@ MAX_LANGUAGES = 200
 UNKNOWN = "und"
 #: Words per block of the forward algorithm, and the longest word that goes into one.
 BLOCK, SHORT = 8192, 40
+#: Sums below this are taken again in logarithms.
+TINY = 1e-250
 EDGE = "▁"
 
 
@@ -103,7 +108,7 @@ class Lattice:
 
     def _sweep(self, arc_p: np.ndarray, source: np.ndarray, target: np.ndarray, order: np.ndarray, begin: np.ndarray,
                steps: range) -> np.ndarray:
-        """Sums over all paths that reach each position; words are short enough not to need scaling."""
+        """Sums over all paths that reach each position."""
         n, top = len(self.lengths), int(self.lengths.max(initial=0))
         sums = np.zeros((n, top + 1, arc_p.shape[1]))
         sums[np.arange(n), begin] = 1.0
@@ -127,37 +132,85 @@ class Lattice:
         return self._sweep(arc_p, self.end, self.start, order, self.lengths,
                            range(int(self.lengths.max(initial=0)) - 1, -1, -1))
 
-    def log_sums(self, p: np.ndarray) -> np.ndarray:
-        """Log of each word's sum over all segmentations, per language."""
+    def sums(self, p: np.ndarray) -> np.ndarray:
+        """Each word's sum over all segmentations, per language; 0 where it is too small a number."""
         sums = self.forward(self.arc_p(p))
-        return np.log(np.maximum(sums[np.arange(len(self.lengths)), self.lengths], 1e-300))
+        return sums[np.arange(len(self.lengths)), self.lengths]
 
-    def expected(self, p: np.ndarray, weights: np.ndarray, total: np.ndarray) -> None:
-        """Adds the expected uses of each piece, words weighted per language, to `total`."""
+    def expected(self, p: np.ndarray, weights: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Adds the expected uses of each piece, words weighted per language, to `total`.
+
+        Words whose sum is tiny add nothing; their numbers are returned.
+        """
         arc_p = self.arc_p(p)
         ahead, behind = self.forward(arc_p), self.backward(arc_p)
-        whole = np.maximum(ahead[np.arange(len(self.lengths)), self.lengths], 1e-300)
+        whole = ahead[np.arange(len(self.lengths)), self.lengths]
+        tiny = (whole < TINY).any(axis=1)
+        weights = np.where(tiny[:, None], 0.0, weights)
+        whole = np.maximum(whole, TINY)
         use = ahead[self.word, self.start] * arc_p * behind[self.word, self.end] * (weights / whole)[self.word]
         for lang in range(total.shape[1]):
             total[:, lang] += np.bincount(self.first, weights=use[:, lang], minlength=len(total))
         for arc, used in self.spelled:
             for piece in used:
                 total[piece] += use[arc]
+        return np.flatnonzero(tiny)
+
+
+class LongWord:
+    """One word of any length, in logarithms; `log_p` is the logarithm of the probability table."""
+
+    def __init__(self, word: str, pieces: dict[str, int], log_p: np.ndarray):
+        text, get = EDGE + word, pieces.get
+        self.n, self.arcs = len(text), []
+        for start in range(self.n):
+            for end in range(start + 1, self.n + 1):
+                piece = get(text[start:end])
+                if piece is None:
+                    break
+                if piece >= 0:
+                    self.arcs.append((start, end, [piece], log_p[piece]))
+            if get(text[start], -1) < 0:
+                used = [i for i in (get(f"<0x{b:02X}>", -1) for b in text[start].encode()) if i >= 0]
+                cost = log_p[used].sum(axis=0) if used else np.full(log_p.shape[1], np.log(1e-12))
+                self.arcs.append((start, start + 1, used, cost))
+        self.ahead = np.full((self.n + 1, log_p.shape[1]), -np.inf)
+        self.ahead[0] = 0.0
+        for start, end, _, cost in self.arcs:  # in order of their start
+            self.ahead[end] = np.logaddexp(self.ahead[end], self.ahead[start] + cost)
+
+    def log_sum(self) -> np.ndarray:
+        return self.ahead[self.n]
+
+    def expected(self, weights: np.ndarray, total: np.ndarray) -> None:
+        behind = np.full_like(self.ahead, -np.inf)
+        behind[self.n] = 0.0
+        for start, end, _, cost in reversed(self.arcs):
+            behind[start] = np.logaddexp(behind[start], cost + behind[end])
+        for start, end, used, cost in self.arcs:
+            use = weights * np.exp(self.ahead[start] + cost + behind[end] - self.ahead[self.n])
+            for piece in used:
+                total[piece] += use
 
 
-def split_long(word: str) -> list[str]:
-    """A word as lattice-sized runs; only words beyond `SHORT` characters have more than one."""
-    return [word[i:i + SHORT] for i in range(0, len(word), SHORT)] or [""]
+def _logs(p: np.ndarray) -> np.ndarray:
+    return np.log(np.maximum(p, 1e-300))
 
 
 def log_words(words: list[str], pieces: dict[str, int], p: np.ndarray) -> np.ndarray:
     """Log probability of each word per language."""
-    runs = [split_long(word) for word in words]
-    flat, counts = [r for run in runs for r in run], [len(run) for run in runs]
-    parts = [Lattice(flat[i:i + BLOCK], pieces, len(p) - 1).log_sums(p) for i in range(0, len(flat), BLOCK)]
-    if not parts:
-        return np.zeros((0, p.shape[1]))
-    return np.add.reduceat(np.concatenate(parts), np.cumsum([0, *counts[:-1]]), axis=0)
+    out = np.zeros((len(words), p.shape[1]))
+    short = [i for i, word in enumerate(words) if len(word) <= SHORT]
+    single = [i for i, word in enumerate(words) if len(word) > SHORT]
+    for at in range(0, len(short), BLOCK):
+        block = short[at:at + BLOCK]
+        sums = Lattice([words[i] for i in block], pieces, len(p) - 1).sums(p)
+        out[block] = np.log(np.maximum(sums, TINY))
+        single += [block[i] for i in np.flatnonzero((sums < TINY).any(axis=1))]
+    logs = _logs(p) if single else None
+    for i in single:
+        out[i] = LongWord(words[i], pieces, logs).log_sum()
+    return out
 
 
 @dataclass
@@ -170,13 +223,22 @@ class Model:
 
 
 def fit(texts: DataFrame, text: str = "text", lang: str = "lang", rounds: int = ROUNDS, sample: int = SAMPLE,
-        vocabulary: str = VOCABULARY) -> Model:
-    """Piece probabilities from about `sample` labelled rows."""
-    labelled = texts.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).dropna()
-    share = sample / max(labelled.count(), 1)
-    if share < 1:
-        # the hash is taken of all 64 bits, the lowest share of its range is kept
-        labelled = labelled.filter(F.xxhash64("text") < int((2 * share - 1) * 2 ** 63))
+        vocabulary: str = VOCABULARY, key: str | None = None) -> Model:
+    """Piece probabilities from about `sample` labelled rows, the same number of each language.
+
+    `key` tells copies of a text apart when rows are drawn.
+    """
+    drawn = F.xxhash64(text, key) if key else F.xxhash64(text)
+    labelled = texts.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), drawn.alias("h"))
+    labelled = labelled.dropna(subset=["lang", "text"])
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
+    bound = F.lit(None).cast("bigint")
+    for row in sizes:
+        share = sample / len(sizes) / row.n
+        if share < 1:
+            # the hash is taken of all 64 bits, the lowest share of its range is kept
+            bound = F.when(F.col("lang") == row.lang, int((2 * share - 1) * 2 ** 63)).otherwise(bound)
+    labelled = labelled.filter(F.coalesce(F.col("h") < bound, F.lit(True)))
     words = labelled.select("lang", F.explode(F.split("text", SPACE)).alias("word")).filter("word <> ''")
     words = stored(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
     languages = sorted(r.lang for r in words.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
@@ -206,17 +268,20 @@ def _expectation(p: np.ndarray, languages: list[str], vocabulary: str):
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, total = read_pieces(vocabulary), np.zeros_like(p)
         for batch in batches:
-            runs, where, n = [], [], []
-            for lang, word, times in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n"))):
-                for run in split_long(word):
-                    runs.append(run)
-                    where.append(column[lang])
-                    n.append(times)
-            for i in range(0, len(runs), BLOCK):
-                block = slice(i, i + BLOCK)
-                weights = np.zeros((len(runs[block]), len(languages)))
-                weights[np.arange(len(weights)), where[block]] = n[block]
-                Lattice(runs[block], pieces, len(p) - 1).expected(p, weights, total)
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n"))))
+            single = [row for row in rows if len(row[1]) > SHORT]
+            short = [row for row in rows if len(row[1]) <= SHORT]
+            for i in range(0, len(short), BLOCK):
+                block = short[i:i + BLOCK]
+                weights = np.zeros((len(block), len(languages)))
+                weights[np.arange(len(block)), [column[lang] for lang, _, _ in block]] = [n for _, _, n in block]
+                tiny = Lattice([word for _, word, _ in block], pieces, len(p) - 1).expected(p, weights, total)
+                single += [block[j] for j in tiny]
+            logs = _logs(p) if single else None
+            for lang, word, n in single:
+                weights = np.zeros(len(languages))
+                weights[column[lang]] = n
+                LongWord(word, pieces, logs).expected(weights, total)
         piece, lang = np.nonzero(total[:-1])
         yield pa.RecordBatch.from_arrays(
             [pa.array(piece.astype(np.int32)), pa.array(lang.astype(np.int32)), pa.array(total[piece, lang])],

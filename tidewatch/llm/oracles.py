@@ -51,8 +51,8 @@ _RULES = {"word_length": 1.0, "symbol_rate": 0.1, "dup_line_rate": 0.4, "repeat_
 
 def _fence(measure: str) -> str:
     """The measure lies within three interquartile ranges and its margin around the quartiles."""
-    low, high = (f"CASE WHEN g.n >= 200 THEN g.{measure}[{i}] WHEN l.n >= 200 THEN l.{measure}[{i}] "
-                 f"ELSE a.{measure}[{i}] END" for i in (1, 2))
+    low, high = (f"(g.n / (g.n + 200) * g.{measure}[{i}] + (1 - g.n / (g.n + 200)) * (l.n / (l.n + 200) * l.{measure}[{i}] "
+                 f"+ (1 - l.n / (l.n + 200)) * a.{measure}[{i}]))" for i in (1, 2))
     reach = f"(3.0 * (({high}) - ({low})) + {_RULES[measure]})"
     return f"m.{measure} BETWEEN ({low}) - {reach} AND ({high}) + {reach}"
 
@@ -83,7 +83,7 @@ OP10 = rf"""
     l AS (SELECT lang, count(*) AS n, {_QUARTILES} FROM m WHERE n_words > 0 GROUP BY lang),
     a AS (SELECT {_QUARTILES} FROM m WHERE n_words > 0)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-           NOT base_failed AND {' AND '.join(map(_fence, _RULES))} AS kept
+           coalesce(NOT base_failed AND {' AND '.join(map(_fence, _RULES))}, false) AS kept
     FROM m LEFT JOIN g ON m.lang IS NOT DISTINCT FROM g.lang AND m.source IS NOT DISTINCT FROM g.source
     LEFT JOIN l ON m.lang IS NOT DISTINCT FROM l.lang CROSS JOIN a"""
 

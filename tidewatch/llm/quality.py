@@ -1,12 +1,13 @@
 """Quality rules whose thresholds follow the data: quantile sketches per language and source.
 
 Each text is measured; the measures of a language and source are summed up in
-mergeable quantile sketches (Greenwald-Khanna summaries, built per task and merged,
-so a source with a third of all rows gathers nowhere); a text outside the fences of
-its group is rejected. Fences are Tukey's: a quartile plus `spread` times the
+mergeable quantile sketches (Greenwald-Khanna summaries, built per task; what meets in
+one task is a bounded summary per task and group, never rows); a text outside the fences
+of its group is rejected. Fences are Tukey's: a quartile plus `spread` times the
 interquartile range, and a margin for measures that hardly vary in their group.
-A group of fewer than `least` texts uses the fences of its language, and a small
-language those of all texts.
+The quartiles of a group of n texts weigh n / (n + `inertia`) against those of its
+language, and the language's in the same way against those of all texts, so thresholds
+move smoothly as a source grows and no size changes the rule.
 
 Only built-in functions. Defined cases: NULL text has no words and fails; NULL
 language or source is a group of its own; repeated rows are judged row by row.
@@ -25,7 +26,7 @@ MEASURES = ["word_length", "symbol_rate", "dup_line_rate", "repeat_rate"]
 #: Added to the fence of each measure.
 MARGINS = {"word_length": 1.0, "symbol_rate": 0.1, "dup_line_rate": 0.4, "repeat_rate": 0.3}
 SPREAD = 3.0
-LEAST = 200
+INERTIA = 200
 ACCURACY = 10_000
 
 
@@ -83,7 +84,7 @@ def measured(docs: DataFrame, text: str = "text", lang: str = "lang", source: st
     }).drop("n_lines")
 
 
-def fences(measures: DataFrame, least: int = LEAST, spread: float = SPREAD, accuracy: int = ACCURACY,
+def fences(measures: DataFrame, inertia: int = INERTIA, spread: float = SPREAD, accuracy: int = ACCURACY,
            margins: dict[str, float] | None = None) -> DataFrame:
     """Lower and upper fence of each measure, per language and source that occurs.
 
@@ -96,21 +97,24 @@ def fences(measures: DataFrame, least: int = LEAST, spread: float = SPREAD, accu
         [["lang", "source"], ["lang"], []], "lang", "source").agg(
         level.alias("level"), F.count("*").alias("n"),
         *(F.percentile_approx(m, [0.25, 0.75], accuracy).alias(m) for m in MEASURES))
+    quartiles = F.struct(*(F.col(m)[i].cast("double").alias(f"{m}{i}") for m in MEASURES for i in (0, 1)))
+    table = stored(sketched.select("lang", "source", "level", "n", quartiles.alias("q")), "quartiles")
+    own, tongue = table.filter("level = 0"), table.filter("level = 1")
+    tongue = tongue.select(F.col("lang").alias("l2"), F.col("n").alias("n2"), F.col("q").alias("q2"))
+    overall = table.filter("level = 3").select("q.*").first()  # one row
+    joined = own.join(tongue, F.col("lang").eqNullSafe(F.col("l2")), "left")
+
+    def blended(name: str) -> Column:
+        share, share2 = F.col("n") / (F.col("n") + inertia), F.col("n2") / (F.col("n2") + inertia)
+        whole = F.lit(overall[name] if overall else None).cast("double")
+        return share * F.col(f"q.{name}") + (1 - share) * (share2 * F.col(f"q2.{name}") + (1 - share2) * whole)
+
     bounds = []
     for m in MEASURES:
-        low, high = F.col(m)[0], F.col(m)[1]
+        low, high = blended(f"{m}0"), blended(f"{m}1")
         reach = spread * (high - low) + margins[m]
         bounds += [(low - reach).alias(f"{m}_low"), (high + reach).alias(f"{m}_high")]
-    names = [f"{m}_{side}" for m in MEASURES for side in ("low", "high")]
-    table = stored(sketched.select("lang", "source", "level", "n", F.struct(*bounds).alias("f")), "fences")
-    own, tongue = table.filter("level = 0"), table.filter("level = 1")
-    tongue = tongue.select(F.col("lang").alias("l2"), F.col("n").alias("n2"), F.col("f").alias("f2"))
-    overall = table.filter("level = 3").select("f.*").first()  # one row
-    whole = F.struct(*(F.lit(overall[name] if overall else None).cast("double").alias(name) for name in names))
-    joined = own.join(tongue, F.col("lang").eqNullSafe(F.col("l2")), "left")
-    chosen = F.when(F.col("n") >= least, F.col("f")).when(F.col("n2") >= least, F.col("f2")).otherwise(whole)
-    return joined.select(F.col("lang").alias("fence_lang"), F.col("source").alias("fence_source"),
-                         *(chosen[name].alias(name) for name in names))
+    return joined.select(F.col("lang").alias("fence_lang"), F.col("source").alias("fence_source"), *bounds)
 
 
 def judged(measures: DataFrame, limits: DataFrame) -> DataFrame:

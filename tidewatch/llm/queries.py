@@ -24,7 +24,7 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select(
         "doc_id", "text", "lang", F.struct("doc_id", F.coalesce(language.fold(F.col("doc_id")) == 0, F.lit(False))
                                            .alias("held_out")).alias("key"))
-    model = language.fit(docs.filter(language.fold(F.col("doc_id")) != 0))
+    model = language.fit(docs.filter(language.fold(F.col("doc_id")) != 0), key="doc_id")
     return language.predict(docs, model, "key").select("id.doc_id", "id.held_out", "lang_pred", "score")
 
 
