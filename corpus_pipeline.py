@@ -3,6 +3,10 @@
 Quality rules drop bad texts, near-duplicates keep one text of each group, texts with
 a benchmark passage go, personal data is masked, and what is left is packed. Every
 stage is written as Parquet and read again, so a lost executor repeats one stage only.
+
+Defined cases, the same in every stage: an empty table gives an empty one; columns beside
+those of `documents` are left behind, whatever their names; NULL ids are rows like any other.
+Each stage states what it does with NULL, empty and repeated texts.
 """
 
 from __future__ import annotations
@@ -17,28 +21,47 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts that fail the base rules or lie outside the fences of their language and source."""
+    """Rejects texts that fail the base rules or lie outside the fences of their language and source.
+
+    NULL and empty texts have no words and are rejected; a NULL language or source is a group of
+    its own; equal rows get equal verdicts.
+    """
     return quality.keep_good(docs).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each component of fingerprints at most 3 bits apart."""
+    """Keeps the document of the smallest id of each component of fingerprints at most 3 bits apart.
+
+    Of repeated rows one stays; NULL ids come after all others; NULL and empty texts share the
+    fingerprint zero, so one of them stays.
+    """
     return simhash.one_of_each(docs).select(*COLUMNS)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes documents that hold a window of a benchmark item."""
+    """Removes documents that hold a window of a benchmark item.
+
+    NULL and empty texts hold none and stay, as does everything if the benchmark is empty;
+    repeated rows stay or go together.
+    """
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks personal data, plain and disguised."""
+    """Masks personal data, plain and disguised, and counts the characters anew.
+
+    All rows stay, repeated ones too; a NULL text stays NULL, with a NULL count.
+    """
     masked = pii.mask(docs.select(*COLUMNS))
     return masked.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 2048 tokens."""
+    """Packs what is left into sequences of 2048 tokens.
+
+    A NULL text is empty, and an empty text its end mark alone; only longer texts than a sequence
+    are cut; repeated rows are packed one by one.
+    """
     return packing.pack(docs).withColumnRenamed("id", "doc_id")
 
 
