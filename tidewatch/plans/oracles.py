@@ -10,8 +10,6 @@ from __future__ import annotations
 import re
 
 from tidewatch import schemas
-from tidewatch.functions.net import IPV4_PATTERN
-from tidewatch.functions.styles import SEVERITY_BANDS
 from tidewatch.plans import catalog as c
 from tidewatch.sources.fixtures import TABLES, derivation_sql
 from tidewatch.sources.logs import LINE_PATTERN
@@ -24,6 +22,12 @@ def _values(rows: list[tuple], columns: str) -> str:
     return f"SELECT * FROM (VALUES {body}) AS t({columns})"
 
 
+def _ipv4(column: str) -> str:
+    """Four numbers of one to three digits between dots, none above 255."""
+    return (f"(regexp_full_match({column}, '[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}')"
+            f" AND list_max([try_cast(part AS int) FOR part IN string_split({column}, '.')]) <= 255)")
+
+
 VIEWS: dict[str, str] = {
     "levels": _values(schemas.THREAT_LEVELS, "score, description, is_malicious_flag, action_recommended"),
     "legacy_levels": _values(schemas.LEGACY_THREAT_LEVELS, "score, description, is_malicious_flag"),
@@ -36,7 +40,7 @@ VIEWS: dict[str, str] = {
                string_agg(DISTINCT q.response_ip, ', ' ORDER BY q.response_ip) AS observable_ip,
                min(q.timestamp) AS first_seen, count(DISTINCT q.id) AS query_count
         FROM dns_queries q
-        WHERE regexp_matches(q.response_ip, '{IPV4_PATTERN}')
+        WHERE {_ipv4('q.response_ip')}
           AND NOT EXISTS (SELECT 1 FROM threat_indicators i WHERE i.dns_query_id = q.id)
         GROUP BY q.id, q.source_ip, q.domain""",
     # Newest scans of every query, ties included.
@@ -251,12 +255,13 @@ VIEWS: dict[str, str] = {
 }
 
 STAMP = "20240131000000"
-BAND = {
-    name: "CASE " + " ".join(f"WHEN score <= {b[0]} THEN '{b[i]}{tail}'" for b in SEVERITY_BANDS[:-1])
-    + f" ELSE '{SEVERITY_BANDS[-1][i]}{tail}' END AS {name}"
-    for name, i, tail in (("accent", 1, ""), ("header_text", 2, ": DNS watch"), ("badge", 3, ""))
-}
-STYLE = ", ".join(BAND.values())
+# Scores up to 2, 3, and all others.
+STYLE = """
+    CASE WHEN score <= 2 THEN '#4caf50' WHEN score = 3 THEN '#ff9800' ELSE '#f44336' END AS accent,
+    CASE WHEN score <= 2 THEN '✅ INFO: DNS watch' WHEN score = 3 THEN '⚠️ REVIEW: DNS watch'
+         ELSE '🚨 ALERT: DNS watch' END AS header_text,
+    CASE WHEN score <= 2 THEN 'Clean / Monitor' WHEN score = 3 THEN 'Suspicious'
+         ELSE 'Malicious / Critical' END AS badge"""
 
 SQL: dict[str, str] = {
     "pending_analysis": "SELECT * FROM pending",
@@ -353,7 +358,7 @@ SQL: dict[str, str] = {
         SELECT time_sec, share, CASE WHEN share >= 80 THEN 'red' ELSE 'green' END AS color FROM (
           SELECT time_sec, round(total_positives_per_day / total_scans_per_day * 100, 2) AS share FROM trends)""",
     "answer_kinds": f"""
-        SELECT coalesce(regexp_matches(response_ip, '{IPV4_PATTERN}'), false) AS is_ipv4, record_type,
+        SELECT coalesce({_ipv4('response_ip')}, false) AS is_ipv4, record_type,
                count(*) AS rows FROM dns_queries GROUP BY ALL""",
     "address_ranges": f"""
         SELECT id, address,
@@ -361,7 +366,7 @@ SQL: dict[str, str] = {
                  OR n BETWEEN 2886729728 AND 2887778303 OR n BETWEEN 167772160 AND 184549375) AS private,
                ok AND (n BETWEEN 168430080 AND 168430335 OR n = 2130706433
                  OR n BETWEEN 3232235520 AND 3232301055) AS allowed
-        FROM (SELECT id, address, regexp_matches(address, '{IPV4_PATTERN}') AS ok,
+        FROM (SELECT id, address, {_ipv4('address')} AS ok,
                 coalesce(try_cast(split_part(address, '.', 1) AS bigint) * 16777216
                 + try_cast(split_part(address, '.', 2) AS bigint) * 65536
                 + try_cast(split_part(address, '.', 3) AS bigint) * 256
