@@ -3,7 +3,7 @@
 Not here: language models, SimHash components (all pairs would be compared), disguised
 personal data, tokenizers and Spark's hash function. Tests compare those with plain
 versions. Thresholds of the quality rules are exact quantiles here; the sketches of the
-query equal them while a group has fewer texts than half their accuracy.
+query equal them while a group has fewer texts than a sketch holds.
 """
 
 from __future__ import annotations

@@ -1,9 +1,10 @@
 """Quality rules whose thresholds follow the data: quantile sketches per language and source.
 
 Each text is measured; the measures of a language and source are summed up in
-mergeable quantile sketches (Greenwald-Khanna summaries, built per task; what meets in
-one task is a bounded summary per task and group, never rows); a text outside the fences
-of its group is rejected. Fences are Tukey's: a quartile plus `spread` times the
+mergeable quantile sketches (KLL). Sketches of one group meet in two steps, the first
+dealt over `PARTS` tasks, so that a group over all of a table's tasks is never merged
+by one of them; languages and the whole merge the sketches of their sources. A text
+outside the fences of its group is rejected. Fences are Tukey's: a quartile plus `spread` times the
 interquartile range, and a margin for measures that hardly vary in their group.
 The quartiles of a group of n texts weigh n / (n + `inertia`) against those of its
 language, and the language's in the same way against those of all texts, so thresholds
@@ -27,7 +28,9 @@ MEASURES = ["word_length", "symbol_rate", "dup_line_rate", "repeat_rate"]
 MARGINS = {"word_length": 1.0, "symbol_rate": 0.1, "dup_line_rate": 0.4, "repeat_rate": 0.3}
 SPREAD = 3.0
 INERTIA = 200
-ACCURACY = 10_000
+#: Size of a sketch: exact up to so many texts, then within about 1/1,500 in rank.
+SKETCH = 8192
+PARTS = 64
 
 
 def _covered(starts: Column, width: int) -> Column:
@@ -84,34 +87,53 @@ def measured(docs: DataFrame, text: str = "text", lang: str = "lang", source: st
     }).drop("n_lines")
 
 
-def fences(measures: DataFrame, inertia: int = INERTIA, spread: float = SPREAD, accuracy: int = ACCURACY,
-           margins: dict[str, float] | None = None) -> DataFrame:
-    """Lower and upper fence of each measure, per language and source that occurs.
+def _merged(sketches: DataFrame, keys: list[str], part: Column) -> DataFrame:
+    """One row per group: `n` and the merged sketch of each measure, first per `part` of a group."""
+    def step(df: DataFrame, *by: str) -> DataFrame:
+        return df.groupBy(*by).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(m).alias(m) for m in MEASURES))
+
+    return step(step(sketches.withColumn("part", part), *keys, "part"), *keys)
+
+
+def _dealt(name: str) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(PARTS))
 
-    The three levels are one aggregation: each task sketches (language, source),
-    language and everything, and the sketches are merged.
+
+def quartiles(measures: DataFrame, sketch: int = SKETCH) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """`n` and `q`, the quartiles of each measure, per language and source, per language, and of all.
+
+    The rows are sketched once; no texts, no rows.
     """
+    parted = measures.filter("n_words > 0").withColumn("part", F.spark_partition_id() % PARTS)
+    sketched = parted.groupBy("lang", "source", "part").agg(
+        F.count("*").alias("n"), *(F.kll_sketch_agg_double(F.col(m).cast("double"), sketch).alias(m) for m in MEASURES))
+    own = stored(_merged(sketched, ["lang", "source"], F.col("part")), "sketches")
+    tongue = stored(_merged(own, ["lang"], _dealt("source")), "language-sketches")
+    whole = _merged(tongue.withColumn("all", F.lit(0)), ["all"], _dealt("lang"))
+    # one array per measure, so that a sketch is read once
+    found = F.struct(*(F.kll_sketch_get_quantile_double(m, F.array(F.lit(0.25), F.lit(0.75))).alias(m) for m in MEASURES))
+    own, tongue, whole = (t.withColumn("q", found).drop(*MEASURES) for t in (own, tongue, whole))
+    return own, tongue, whole
+
+
+def fences(measures: DataFrame, inertia: int = INERTIA, spread: float = SPREAD, sketch: int = SKETCH,
+           margins: dict[str, float] | None = None) -> DataFrame:
+    """Lower and upper fence of each measure, per language and source that occurs."""
     margins = margins or MARGINS
-    level = F.grouping_id("lang", "source")
-    sketched = measures.filter("n_words > 0").groupingSets(
-        [["lang", "source"], ["lang"], []], "lang", "source").agg(
-        level.alias("level"), F.count("*").alias("n"),
-        *(F.percentile_approx(m, [0.25, 0.75], accuracy).alias(m) for m in MEASURES))
-    quartiles = F.struct(*(F.col(m)[i].cast("double").alias(f"{m}{i}") for m in MEASURES for i in (0, 1)))
-    table = stored(sketched.select("lang", "source", "level", "n", quartiles.alias("q")), "quartiles")
-    own, tongue = table.filter("level = 0"), table.filter("level = 1")
-    tongue = tongue.select(F.col("lang").alias("l2"), F.col("n").alias("n2"), F.col("q").alias("q2"))
-    overall = table.filter("level = 3").select("q.*").first()  # one row
+    own, tongue, whole = quartiles(measures, sketch)
+    own = stored(own, "quartiles")
+    tongue = stored(tongue.select(F.col("lang").alias("l2"), F.col("n").alias("n2"), F.col("q").alias("q2")), "quartiles")
+    overall = whole.select("q.*").first()  # one row, none of an empty table
     joined = own.join(tongue, F.col("lang").eqNullSafe(F.col("l2")), "left")
 
-    def blended(name: str) -> Column:
+    def blended(m: str, i: int) -> Column:
         share, share2 = F.col("n") / (F.col("n") + inertia), F.col("n2") / (F.col("n2") + inertia)
-        whole = F.lit(overall[name] if overall else None).cast("double")
-        return share * F.col(f"q.{name}") + (1 - share) * (share2 * F.col(f"q2.{name}") + (1 - share2) * whole)
+        of_all = F.lit(overall[m][i] if overall else None).cast("double")
+        return share * F.col(f"q.{m}")[i] + (1 - share) * (share2 * F.col(f"q2.{m}")[i] + (1 - share2) * of_all)
 
     bounds = []
     for m in MEASURES:
-        low, high = blended(f"{m}0"), blended(f"{m}1")
+        low, high = blended(m, 0), blended(m, 1)
         reach = spread * (high - low) + margins[m]
         bounds += [(low - reach).alias(f"{m}_low"), (high + reach).alias(f"{m}_high")]
     return joined.select(F.col("lang").alias("fence_lang"), F.col("source").alias("fence_source"), *bounds)
