@@ -10,6 +10,7 @@ from tidewatch.functions.shaping import spread_join
 from tidewatch.functions.text import concat_distinct
 from tidewatch.functions.times import epoch_seconds, hour_label
 from tidewatch.operators.filters import malicious_legacy, malicious_only, with_level
+from tidewatch.session import stored
 
 
 def pending_analysis(dns: DataFrame, ti: DataFrame) -> DataFrame:
@@ -142,9 +143,11 @@ def _explore(ne: DataFrame, dns: DataFrame, ti: DataFrame, verdicts: DataFrame,
              providers: DataFrame) -> DataFrame:
     """Events of the given verdicts. Starts from the verdicts, the selective side,
     so that indicators and events are cut down before they are joined further, and
-    providers are listed for its indicators alone."""
-    flagged = (ti.select(F.col("id").alias("threat_indicator_id"), "analysis_result_id")
-               .join(verdicts.withColumnRenamed("id", "analysis_result_id"), "analysis_result_id"))
+    providers are listed for its indicators alone. Flagged indicators serve twice;
+    they are found once and stored, which also tells the planner their size."""
+    flagged = stored(ti.select(F.col("id").alias("threat_indicator_id"), "analysis_result_id")
+                     .join(verdicts.withColumnRenamed("id", "analysis_result_id"), "analysis_result_id")
+                     .drop("analysis_result_id"), "flagged")
     events = (ne.withColumnRenamed("id", "event_id")
               .join(flagged, "threat_indicator_id")
               .join(dns.select(F.col("id").alias("dns_query_id"), F.col("domain").alias("fqdn")), "dns_query_id"))
