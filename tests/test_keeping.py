@@ -123,6 +123,39 @@ def test_upsert_writes_only_what_changes(spark, rows, tmp_path):
         upsert.upsert(spark, spark.createDataFrame(first, SCANS), path, ["q", "a"], "last_scan", 5)
 
 
+def test_upsert_moves_each_row_once(spark, rows, tmp_path, monkeypatch):
+    """No copies beside the table; large folders shared by tasks, many rows of one key and NULL in keys."""
+    draw, path, shared = random.Random(4), str(tmp_path / "table"), spark.conf.get("spark.checkpoint.dir")
+    monkeypatch.setattr(upsert, "ROWS", 40)
+    months, before = [datetime(2024, m, 5) for m in (1, 2)], set(glob.glob(f"{shared}/*"))
+    plain = {}
+
+    def batch(data, number):
+        merged = {}
+        for i, q, a, at, n in data:
+            least, total = merged.get((q, a, at), (i, 0))
+            merged[q, a, at] = min(least, i), total + n
+        for key, (i, n) in merged.items():
+            kept, total, newest = plain.get(key, (i, 0, 0))
+            plain[key] = (kept, total + n, number) if newest < number else (kept, total, newest)
+        upsert.upsert(spark, spark.createDataFrame(data, SCANS), path, KEYS, "last_scan", number, buckets=3)
+
+    def some(n):
+        return [(f"x{draw.randrange(10**6)}", draw.randrange(300), draw.choice([1, None]), draw.choice(months), draw.randrange(9))
+                for _ in range(n)]
+
+    first, second = some(400), some(300) + [("w", 7, 1, months[0], 1)] * 500
+    for data, number in ((first, 1), (second, 2), (second + some(50), 2), (first, 1)):
+        batch(data, number)
+        expected = sorted([(i, *key, n) for key, (i, n, _) in plain.items()], key=repr)
+        assert rows(upsert.read_upserted(spark, path), "id", *KEYS, "scan_count") == expected
+    nothing = [("n", 1, 1, None, 1), ("m", 1, 1, None, 2)]  # no time, so no month
+    for number in (3, 3, 4):
+        batch(nothing, number)
+    assert rows(upsert.read_upserted(spark, path).filter("ym is null"), "id", "q", "scan_count") == [("m", 1, 6)]
+    assert set(glob.glob(f"{shared}/*")) == before
+
+
 def test_every_broken_rule_of_a_row_is_named(spark):
     levels = spark.createDataFrame([(i,) for i in range(1, 6)] + [(5,)], "score int")
     verdicts = spark.createDataFrame(
