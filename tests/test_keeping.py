@@ -39,6 +39,66 @@ def test_queue_rows_leave_when_answered_and_come_back(spark, rows, tmp_path):
     assert [k for k, _ in run([], [1, 6])] == []
 
 
+def test_queue_state_over_many_batches_equals_a_plain_model(spark, rows, tmp_path, monkeypatch):
+    """Waiting, answered, handed out again, remembered and forgotten, with batches that run twice and merged state."""
+    monkeypatch.setattr(queue, "MERGE_EVERY", 2)
+    draw, out, state = random.Random(5), str(tmp_path / "out"), str(tmp_path / "state")
+    schema = "dns_query_id string, answer boolean, source_ip string, fqdn string, observable_ip string, first_seen timestamp_ntz, arrived_ms bigint"
+    again, keep, model, expected = 150, 250, {}, []
+    for number in range(7):
+        now = 1000 + 100 * number
+        asked = [(str(draw.randrange(12)), START + timedelta(seconds=draw.randrange(9))) for _ in range(4)]
+        answered = [str(draw.randrange(12)) for _ in range(3)] + ["hot"] * 50
+        batch = spark.createDataFrame([(k, False, "N/A", f"d{k}", "1.2.3.4", at, now) for k, at in asked]
+                                      + [(k, True, None, None, None, None, now) for k in answered], schema)
+        for _ in range(1 + number % 2):  # odd batches run twice
+            queue.add_batch(batch, out, state, number, again, keep)
+        for k in sorted({k for k, _ in asked} | set(answered) | set(model)):
+            held = model.get(k)
+            if held and held[0] == "answered" and held[1] <= now:
+                held = model.pop(k) and None
+            if held and held[0] == "answered":
+                continue
+            first = min((at for q, at in asked if q == k), default=None)
+            if k in answered:
+                if held:
+                    expected.append((k, "answered", *held[2:], number))
+                model[k] = ("answered", now + keep)
+            elif held and held[1] <= now:
+                model[k] = ("waiting", held[1] + again, held[2], held[3] + 1)
+                expected.append((k, "waiting", *model[k][2:], number))
+            elif not held and first is not None:
+                model[k] = ("waiting", now + again, first, 1)
+                expected.append((k, "waiting", first, 1, number))
+    events = spark.read.parquet(out)
+    assert rows(events, "dns_query_id", "state", "first_seen", "attempt", "batch_id") == sorted(expected, key=repr)
+    assert {e[1] for e in expected} == {"waiting", "answered"} and max(e[3] for e in expected) > 1
+    ended = {e[0] for e in expected if e[1] == "answered"}  # an entry that was answered stays ended
+    waiting = sorted((k, m[3]) for k, m in model.items() if m[0] == "waiting" and k not in ended)
+    assert rows(queue.open_entries(events), "dns_query_id", "attempt") == waiting
+    assert sorted(f.rsplit("/", 1)[1] for f in glob.glob(f"{state}/*")) == ["base=4", "base=6"]  # older state is deleted
+
+
+def test_queue_runs_without_a_worker_per_key(spark, tmp_path):
+    dns, ti, out, state = (str(tmp_path / n) for n in ("dns", "ti", "out", "state"))
+    spark.createDataFrame([dns_row(0)], DNS_QUERIES).write.parquet(dns)
+    spark.range(1, 5_000).selectExpr("cast(id as string) as dns_query_id").write.parquet(ti)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    stream = queue.stream_queue(spark.readStream.schema(DNS_QUERIES).parquet(dns),
+                                spark.readStream.schema("dns_query_id string").parquet(ti), out, state, availableNow=True)
+    stream.awaitTermination(120)
+    assert [r.dns_query_id for r in queue.open_entries(spark.read.parquet(out)).collect()] == ["0"]
+    assert not any(p["stateOperators"] for p in stream.recentProgress)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # the stream's session is its own
+    try:
+        spark.createDataFrame([dns_row(6_000)], DNS_QUERIES).write.mode("append").parquet(dns)
+        queue.stream_queue(spark.readStream.schema(DNS_QUERIES).parquet(dns),
+                           spark.readStream.schema("dns_query_id string").parquet(ti), out, state, availableNow=True).awaitTermination(120)
+        assert spark.conf.get("spark.sql.adaptive.enabled") == "false"
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def test_late_rows_count_in_the_traffic_roll_up(spark, rows, tmp_path):
     draw, path = random.Random(2), str(tmp_path / "traffic")
     data = [(str(i), START + timedelta(minutes=draw.randrange(4_000)), "query", "A", draw.choice(["a", "b", None, f"n{i}"]),
