@@ -73,7 +73,9 @@ def idf(total: int) -> Column:
 
 def weighted_terms(terms: DataFrame, counted: DataFrame, total: int) -> DataFrame:
     """Adds `idf` and `weight` to the template terms."""
-    weighted = terms.join(counted, "term", "left").withColumn("idf", idf(total))
+    # of all counted terms only the few of the templates are moved
+    held = counted.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+    weighted = terms.join(held, "term", "left").withColumn("idf", idf(total))
     return weighted.withColumn("weight", F.col("tf") * F.col("idf"))
 
 
@@ -95,23 +97,27 @@ def matched(files: DataFrame, key: str, text: str, whole: Column, threshold: flo
     """`key`, `license` and `score` of the best template of each file that reaches the threshold.
 
     `key` is unique. `whole` says which files are also compared as one unit.
+
+    Each file of a stored table costs a process for its permissions where Hadoop lacks its
+    native library. So the weights, as few as the templates' terms, are one file, the units
+    are stored before a shuffle deals them out, and no table has more files than the input splits.
     """
     spark = files.sparkSession
     slim = files.select(F.col(key).alias("key"), F.col(text).alias("text"), whole.alias("whole"))
-    counted, total = stored(frequencies(slim, "text"), "document-frequencies"), slim.count()
-    weights = stored(weighted_terms(template_terms(spark, templates or TEMPLATES), counted, total), "template-weights")
+    counted = stored(frequencies(slim, "text").coalesce(max(1, slim.rdd.getNumPartitions())), "document-frequencies")
+    total = slim.count()
+    weights = weighted_terms(template_terms(spark, templates or TEMPLATES), counted, total)
+    weights = stored(weights.coalesce(1), "template-weights")
     marks = signature(weights, threshold)
     body = F.coalesce(F.col("text"), F.lit(""))
     parts = F.split(body, "\n")
     units = slim.select("key", F.posexplode(F.when(F.col("whole"), F.array_append(parts, body)).otherwise(parts))
                         .alias("unit", "line"))
     units = evaluate_once(units, words_of(F.col("line")), "words").drop("line")
-    units = units.filter(F.arrays_overlap("words", F.array(*map(F.lit, marks))))
-    tf = units.select("key", "unit", F.explode("words").alias("term")).groupBy("key", "unit", "term").agg(
-        F.count("*").alias("n"))
-    tf = stored(tf, "unit-terms")
-    rarity = counted.join(tf.select("term").distinct(), "term", "left_semi").select("term", idf(total).alias("idf"))
-    rarity = stored(rarity, "unit-term-weights")
+    units = stored(units.filter(F.arrays_overlap("words", F.array(*map(F.lit, marks)))), "scored-units")
+    terms = units.select("key", "unit", F.explode("words").alias("term"))
+    tf = terms.groupBy("key", "unit", "term").agg(F.count("*").alias("n"))
+    rarity = counted.join(terms.select("term").distinct(), "term", "left_semi").select("term", idf(total).alias("idf"))
     lengths = spread_join(tf, rarity, ["term"]).groupBy("key", "unit").agg(
         F.sqrt(F.sum(F.pow(F.col("n") * F.col("idf"), F.lit(2)))).alias("length"))
     norms = weights.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
@@ -148,8 +154,9 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", threshold: fl
         F.element_at(F.split("path", "/"), -1).rlike(LICENSE_FILE), F.lit(False)))
     # numbered once, so that equal rows stay apart
     rows = stored(rows, "numbered-files")
-    own = stored(matched(rows, "key", "text", F.col("is_license"), threshold, templates), "own-licenses")
-    named = stored(rows.drop("text").join(own, "key", "left"), "files")
+    own = matched(rows, "key", "text", F.col("is_license"), threshold, templates)
+    named = rows.drop("text").join(own, "key", "left")
+    named = stored(named.coalesce(max(1, rows.rdd.getNumPartitions())), "files")
     folder = F.get(ancestors(F.col("path")), F.lit(0))["dir"]
     folders = named.filter(F.col("is_license") & F.col("license").isNotNull()).select(
         folder.alias("dir"), F.struct((-F.col("score")).alias("low"), F.col("license").alias("name")).alias("best"))
